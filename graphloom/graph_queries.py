@@ -157,11 +157,11 @@ def _tsv_pattern(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tsv_two_hops(spark: SparkSession, sf: str) -> DataFrame:
-    return match(_tsv_graph(spark, sf), "(?a:Person)-[?e:KNOWS]->(?b:Forum), (?b)-[?f:LIKES]->(?c:City) RETURN ?a, ?b, ?c", check_constants=False)
+    return match(_tsv_graph(spark, sf), "(?a:Person)-[?e:KNOWS]->(?b:Q5), (?b)-[?f:LIKES]->(?c:(Forum OR Message)) RETURN ?a, ?b, ?c", check_constants=False)
 
 
 _NODES = "(SELECT variable, list_distinct(flatten(list(string_split(coalesce(labels, ''), ':')))) AS labels FROM nodes_tsv WHERE variable IS NOT NULL GROUP BY variable)"
-_RANK = "(SELECT *, list_last(list_filter(string_split(properties, chr(9)), x -> starts_with(x, 'rank:'))) AS rank_text FROM edges_tsv)"
+_RANK = "(SELECT *, list_last(list_filter(string_split(properties, chr(9)), lambda x: starts_with(x, 'rank:'))) AS rank_text FROM edges_tsv)"
 
 
 def _dictionary(pick: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -189,7 +189,7 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         _tsv_two_hops,
         f"""SELECT a.variable AS a, b.variable AS b, c.variable AS c FROM edges_tsv e JOIN {_NODES} a ON a.variable = e.from_id JOIN {_NODES} b ON b.variable = e.to_id
         JOIN edges_tsv f ON f.from_id = b.variable JOIN {_NODES} c ON c.variable = f.to_id
-        WHERE e.type = 'KNOWS' AND f.type = 'LIKES' AND list_contains(a.labels, 'Person') AND list_contains(b.labels, 'Forum') AND list_contains(c.labels, 'City')""",
+        WHERE e.type = 'KNOWS' AND f.type = 'LIKES' AND list_contains(a.labels, 'Person') AND list_contains(b.labels, 'Q5') AND (list_contains(c.labels, 'Forum') OR list_contains(c.labels, 'Message'))""",
     ),
     "dict_build": (_dictionary(lambda d: d), f"SELECT * FROM {_DICT}"),
     "dict_locate": (_dictionary(lambda d: dictionary.locate(d, "P77")), f"SELECT * FROM {_DICT} WHERE id = 'P77'"),

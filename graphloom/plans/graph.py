@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,6 @@ from graphloom.errors import GraphQueryError
 from graphloom.plans.ast import Label, LabelAnd, LabelNot
 
 SHIFT = 56
-KINDS = ("long", "double", "string", "datetime", "ordinal")
 
 
 @dataclass(frozen=True)
@@ -43,29 +43,30 @@ class Identity:
         return self.raw == F.lit(int(digits))
 
 
-def kind_of(data_type: T.DataType) -> str:
-    if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return "long"
-    if isinstance(data_type, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return "double"
-    if isinstance(data_type, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-        return "datetime"
-    return "string"
-
-
 @dataclass(frozen=True)
 class NodeTable:
-    """Nodes that all carry ``labels`` and each some of ``dynamic`` (tested by ``label_test``)."""
+    """Nodes that all carry ``labels`` and each some of ``dynamic`` (tested by ``label_test``).
+
+    ``load`` gives the rows; it is called only for tables that a query can touch.
+    """
 
     name: str
-    df: DataFrame
+    load: Callable[[], DataFrame]
     node: Identity
     labels: frozenset[str]
     props: dict[str, tuple[Column, str]] = field(default_factory=dict)
     dynamic: frozenset[str] = frozenset()
     label_test: Callable[[str], Column] | None = None
     rank: Column | None = None
-    rows: float = 1.0
+    known_rows: float | None = None
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.load()
+
+    @cached_property
+    def rows(self) -> float:
+        return self.known_rows if self.known_rows is not None else estimated_rows(self.df)
 
     def test(self, expr) -> bool | Column:
         """Whether the table's nodes satisfy a label expression: always, never, or a condition."""
@@ -92,11 +93,14 @@ class NodeTable:
 
 @dataclass(frozen=True)
 class EdgeSource:
-    """Edges of one or more types; ``ends`` names the node tables that the endpoints lie in."""
+    """Edges of one or more types; ``src_nodes`` and ``dst_nodes`` name the tables that their ends lie in.
+
+    ``edge`` makes the edge's number out of the rows.
+    """
 
     name: str
-    df: DataFrame
-    edge: Column
+    load: Callable[[], DataFrame]
+    edge: Callable[[DataFrame], Column]
     src: Identity
     dst: Identity
     types: frozenset[str]
@@ -104,7 +108,16 @@ class EdgeSource:
     dst_nodes: frozenset[str]
     type_column: Column | None = None
     props: dict[str, tuple[Column, str]] = field(default_factory=dict)
-    rows: dict[str, float] = field(default_factory=dict)
+    known_rows: dict[str, float] | None = None
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.load()
+
+    @cached_property
+    def rows(self) -> dict[str, float]:
+        """Rows of each type, by size where they are not known."""
+        return self.known_rows or dict.fromkeys(self.types, estimated_rows(self.df) / max(1, len(self.types)))
 
 
 def estimated_rows(df: DataFrame) -> float:

@@ -245,7 +245,7 @@ class Plan:
                 elif end.labels is not None:
                     columns.append(identity.code().alias(f"anonymous_{name}"))
             if e:
-                columns.append(source.edge.alias(self.column[e]))
+                columns.append(source.edge(source.df).alias(self.column[e]))
                 if props:
                     columns += [self._prop(source.props, k, self.graph.edge_props[k]).alias(self.prop_column(e, k)) for k in self.keys[e]]
             df = df.select(*columns) if columns else df.select(F.lit(1).alias("there"))

@@ -45,8 +45,8 @@ def load(spark: SparkSession, path: str) -> PropertyGraph:
     nodes = spark.read.schema("id string, labels array<string>, props map<string,string>, node_id long").parquet(f"{path}/nodes")
     edges = spark.read.schema("src string, dst string, props map<string,string>, edge_id long, label string").parquet(f"{path}/edges")
     prop = lambda kinds: {k: (typed(F.element_at("props", k), kind), kind) for k, kind in kinds.items()}
-    table = NodeTable("Node", nodes, Identity(F.col("id")), frozenset(), prop(catalog["node_props"]), frozenset(catalog["labels"]), lambda label: F.array_contains("labels", label), F.col("node_id"), float(catalog["nodes"]))
+    table = NodeTable("Node", lambda: nodes, Identity(F.col("id")), frozenset(), prop(catalog["node_props"]), frozenset(catalog["labels"]), lambda label: F.array_contains("labels", label), F.col("node_id"), float(catalog["nodes"]))
     every = frozenset({"Node"})
     types = frozenset(catalog["types"])
-    source = EdgeSource("Edge", edges, F.col("edge_id"), Identity(F.col("src")), Identity(F.col("dst")), types, every, every, F.col("label"), prop(catalog["edge_props"]), {k: float(v) for k, v in catalog["types"].items()})
+    source = EdgeSource("Edge", lambda: edges, lambda df: F.col("edge_id"), Identity(F.col("src")), Identity(F.col("dst")), types, every, every, F.col("label"), prop(catalog["edge_props"]), {k: float(v) for k, v in catalog["types"].items()})
     return PropertyGraph(spark, [table], [source])

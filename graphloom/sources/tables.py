@@ -8,10 +8,12 @@ The foreign keys of these tables have no orphans, so a node join that asks nothi
 
 from __future__ import annotations
 
+from functools import lru_cache, partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.plans.graph import EdgeSource, Identity, NodeTable, PropertyGraph, estimated_rows, kind_of
+from graphloom.plans.graph import EdgeSource, Identity, NodeTable, PropertyGraph
 
 # The domains of the two columns that serve as labels.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -33,47 +35,65 @@ def _row_number(df: DataFrame, source: int) -> Column:
     return (file * F.lit(1 << 40).cast("decimal(14,0)")).cast("decimal(37,0)") + row
 
 
+#: The columns of the tables that serve as properties, with their kinds.
+_PROPS = {
+    "region": {"name": ("r_name", "string")},
+    "nation": {"name": ("n_name", "string")},
+    "customer": {"name": ("c_name", "string"), "acctbal": ("c_acctbal", "double")},
+    "supplier": {"name": ("s_name", "string"), "acctbal": ("s_acctbal", "double")},
+    "part": {"name": ("p_name", "string"), "brand": ("p_brand", "string"), "size": ("p_size", "long"), "retailprice": ("p_retailprice", "double")},
+    "orders": {"status": ("o_orderstatus", "string"), "totalprice": ("o_totalprice", "double"), "orderdate": ("o_orderdate", "datetime"), "priority": ("o_orderpriority", "string")},
+    "events": {"ts": ("ts", "datetime"), "event_type": ("event_type", "string"), "value": ("value", "double")},
+    "lineitem": {
+        "linenumber": ("l_linenumber", "long"), "quantity": ("l_quantity", "double"), "extendedprice": ("l_extendedprice", "double"), "discount": ("l_discount", "double"),
+        "tax": ("l_tax", "double"), "returnflag": ("l_returnflag", "string"), "linestatus": ("l_linestatus", "string"), "shipdate": ("l_shipdate", "datetime"),
+    },
+}
+#: Node tables: kind, table, key column, further labels, label column with its domain.
+_NODES = (
+    ("Region", "region", "r_regionkey", (), None, ()),
+    ("Nation", "nation", "n_nationkey", (), None, ()),
+    ("Customer", "customer", "c_custkey", ("Party",), "c_mktsegment", SEGMENTS),
+    ("Supplier", "supplier", "s_suppkey", ("Party",), None, ()),
+    ("Part", "part", "p_partkey", (), "p_type", PART_TYPES),
+    ("Order", "orders", "o_orderkey", (), None, ()),
+    ("Event", "events", "event_id", (), None, ()),
+)
+#: Edge sources: type, table, source kind and key, target kind and key.
+_EDGES = (
+    ("IN_REGION", "nation", ("Nation", "n_nationkey"), ("Region", "n_regionkey")),
+    ("IN_NATION", "customer", ("Customer", "c_custkey"), ("Nation", "c_nationkey")),
+    ("IN_NATION", "supplier", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey")),
+    ("PLACED", "orders", ("Customer", "o_custkey"), ("Order", "o_orderkey")),
+    ("CONTAINS", "lineitem", ("Order", "l_orderkey"), ("Part", "l_partkey")),
+    ("SHIPPED_BY", "lineitem", ("Order", "l_orderkey"), ("Supplier", "l_suppkey")),
+    ("DID", "events", ("Customer", "user_id"), ("Event", "event_id")),
+)
+
+
 def graph_from_tables(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    read = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")}
-    rows = {name: estimated_rows(df) for name, df in read.items()}
+    """The graph of the tables in a folder; a table is opened when a query first touches it."""
+
+    @lru_cache(maxsize=None)
+    def read(table: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
-    def props(table: str, names: dict[str, str]) -> dict[str, tuple[Column, str]]:
-        return {prop: (F.col(column), kind_of(read[table].schema[column].dataType)) for prop, column in names.items()}
+    def props(table: str) -> dict[str, tuple[Column, str]]:
+        return {prop: (F.col(column), kind) for prop, (column, kind) in _PROPS[table].items()}
 
     def identity(kind: str, column: str) -> Identity:
         return Identity(F.col(column), PREFIX[kind], NUMBER[kind])
 
-    def nodes(kind: str, table: str, key: str, names: dict[str, str], labels=(), extra=None, domain=(), label_column=None) -> NodeTable:
-        return NodeTable(
-            kind, read[table], identity(kind, key), frozenset({kind, *labels}), props(table, names) | (extra or {}),
-            frozenset(domain), (lambda label: F.col(label_column) == label) if label_column else None, None, rows[table],
-        )
-
-    purchase = {"purchase_value": (F.when(F.col("event_type") == "purchase", F.col("value")), "double")}
-    node_tables = [
-        nodes("Region", "region", "r_regionkey", {"name": "r_name"}),
-        nodes("Nation", "nation", "n_nationkey", {"name": "n_name"}),
-        nodes("Customer", "customer", "c_custkey", {"name": "c_name", "acctbal": "c_acctbal"}, ["Party"], None, SEGMENTS, "c_mktsegment"),
-        nodes("Supplier", "supplier", "s_suppkey", {"name": "s_name", "acctbal": "s_acctbal"}, ["Party"]),
-        nodes("Part", "part", "p_partkey", {"name": "p_name", "brand": "p_brand", "size": "p_size", "retailprice": "p_retailprice"}, [], None, PART_TYPES, "p_type"),
-        nodes("Order", "orders", "o_orderkey", {"status": "o_orderstatus", "totalprice": "o_totalprice", "orderdate": "o_orderdate", "priority": "o_orderpriority"}),
-        nodes("Event", "events", "event_id", {"ts": "ts", "event_type": "event_type", "value": "value"}, [], purchase),
-    ]
-    line = {"linenumber": "l_linenumber", "quantity": "l_quantity", "extendedprice": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "returnflag": "l_returnflag", "linestatus": "l_linestatus", "shipdate": "l_shipdate"}
-    layout = [
-        ("IN_REGION", "nation", ("Nation", "n_nationkey"), ("Region", "n_regionkey"), {}),
-        ("IN_NATION", "customer", ("Customer", "c_custkey"), ("Nation", "c_nationkey"), {}),
-        ("IN_NATION", "supplier", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), {}),
-        ("PLACED", "orders", ("Customer", "o_custkey"), ("Order", "o_orderkey"), {}),
-        ("CONTAINS", "lineitem", ("Order", "l_orderkey"), ("Part", "l_partkey"), line),
-        ("SHIPPED_BY", "lineitem", ("Order", "l_orderkey"), ("Supplier", "l_suppkey"), line),
-        ("DID", "events", ("Customer", "user_id"), ("Event", "event_id"), {}),
-    ]
-    edge_sources = [
+    nodes = []
+    for kind, table, key, labels, label_column, domain in _NODES:
+        extra = {"purchase_value": (F.when(F.col("event_type") == "purchase", F.col("value")), "double")} if kind == "Event" else {}
+        test = (lambda column: lambda label: F.col(column) == label)(label_column) if label_column else None
+        nodes.append(NodeTable(kind, partial(read, table), identity(kind, key), frozenset({kind, *labels}), props(table) | extra, frozenset(domain), test))
+    edges = [
         EdgeSource(
-            f"{table}:{kind}", read[table], _row_number(read[table], i), identity(*src), identity(*dst), frozenset({kind}),
-            frozenset({src[0]}), frozenset({dst[0]}), None, props(table, names), {kind: rows[table]},
+            f"{table}:{kind}", partial(read, table), partial(_row_number, source=i), identity(*src), identity(*dst), frozenset({kind}),
+            frozenset({src[0]}), frozenset({dst[0]}), None, props(table) if table == "lineitem" else {},
         )
-        for i, (kind, table, src, dst, names) in enumerate(layout)
+        for i, (kind, table, src, dst) in enumerate(_EDGES)
     ]
-    return PropertyGraph(spark, node_tables, edge_sources)
+    return PropertyGraph(spark, nodes, edges)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.ordinal import DATE_TIME, ordinal_of_text
-from graphloom.plans.graph import EdgeSource, Identity, NodeTable, PropertyGraph, estimated_rows
+from graphloom.plans.graph import EdgeSource, Identity, NodeTable, PropertyGraph
 
 MOST_NAMES = 100_000
 INTEGER = r"^[+-]?[0-9]+$"
@@ -95,7 +95,7 @@ def infer_kinds(props: DataFrame) -> dict[str, str]:
     cells = props.select(F.explode("props").alias("k", "v"))
     date, time = v.rlike(DATE_TIME), F.regexp_replace(v, r"^\+|Z$", "").try_cast("timestamp_ntz")
     kinds = cells.groupBy("k").agg(
-        F.min(v.rlike(INTEGER) & v.try_cast("long").isNotNull()).alias("long"), F.min(v.rlike(NUMBER)).alias("double"), F.min(date).alias("date"), F.min(date & time.isNotNull()).alias("time")
+        F.min(v.rlike(INTEGER) & v.try_cast("long").isNotNull()).alias("long"), F.min(v.rlike(NUMBER)).alias("double"), F.min(date).alias("date"), F.min(date & time.isNotNull() & ~v.rlike("^-|^[+]?0000")).alias("time")
     )
     rows = kinds.limit(MOST_NAMES + 1).collect()
     if len(rows) > MOST_NAMES:
@@ -137,10 +137,9 @@ def graph_from_frames(nodes: DataFrame, edges: DataFrame, node_props: Mapping[st
     labels, types = _names(nodes, F.explode("labels")), _names(edges, F.col("label"))
     prop = lambda kinds: {k: (typed(F.element_at("props", k), kind), kind) for k, kind in kinds.items()}
     rank = F.col("node_id") if "node_id" in nodes.columns else None
-    table = NodeTable("Node", nodes, Identity(F.col("id")), frozenset(), prop(node_props), labels, lambda label: F.array_contains("labels", label), rank, estimated_rows(nodes))
+    table = NodeTable("Node", lambda: nodes, Identity(F.col("id")), frozenset(), prop(node_props), labels, lambda label: F.array_contains("labels", label), rank)
     every = frozenset({"Node"})
-    size = estimated_rows(edges) / max(1, len(types))
-    source = EdgeSource("Edge", edges, F.col("edge_id"), Identity(F.col("src")), Identity(F.col("dst")), types, every, every, F.col("label"), prop(edge_props), dict.fromkeys(types, size))
+    source = EdgeSource("Edge", lambda: edges, lambda df: F.col("edge_id"), Identity(F.col("src")), Identity(F.col("dst")), types, every, every, F.col("label"), prop(edge_props))
     return PropertyGraph(nodes.sparkSession, [table], [source])
 
 
