@@ -172,7 +172,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_zone_estimates(spark: SparkSession, sf: str) -> DataFrame:
     """The zone of every feed as the data tell it, without its declared zone."""
-    return _estimated(spark, sf, small_map(_table(spark, sf, "feeds"), "feed", "zone")).select(F.col("source").alias("feed"), "zone")
+    return _estimated(spark, sf, small_map(_table(spark, sf, "feeds"), "feed", "zone")).filter("zone IS NOT NULL").select(F.col("source").alias("feed"), "zone")
 
 
 QUERIES = {

@@ -205,6 +205,8 @@ def test_zones_are_found_by_alignment(spark):
     ingest = df.withColumn("anchor", F.col("anchor") + 1)
     got = {x["source"]: x["n_violations"] for x in instants.estimate_zones(ingest, "source", "local", "anchor", zones, relation="before").collect()}
     assert got == {"x": 0, "y": 0, "z": 0}
+    unsure = instants.estimate_zones(df.limit(0).union(spark.createDataFrame([("w", 0, 1)], df.schema)), "source", "local", "anchor", zones).collect()
+    assert [(x["source"], x["zone"]) for x in unsure] == [("w", None)]
     assert instants.estimate_zones(df.limit(0), "source", "local", "anchor", zones).count() == 0
 
 
