@@ -199,8 +199,8 @@ def estimate_zones(rows: DataFrame, source: str, local: str, anchor: str, candid
     ``local`` and ``anchor`` are microseconds.  ``relation``: ``equal`` - the anchor is the same instant
     told with a zone, pairs further apart than ``within_hours`` tell nothing; ``before`` - the anchor is an ingestion
     time or a later neighbour in sequence, which the timestamp must not pass.  Result: (source, zone,
-    n_violations, n_aligned).  The zone is null where the data do not tell: two zones tie, or the best
-    one is violated by half of the rows or more.  Sources without any pair have no row.  Rows are counted
+    n_violations, n_aligned).  The zone is null where the data do not tell: two zones tie, or no row
+    agrees with the best one.  Sources without any pair have no row.  Rows are counted
     by partial aggregates; the candidates are a list in the plan.
     """
     rows = rows.filter(F.col(source).isNotNull() & F.col(local).isNotNull() & F.col(anchor).isNotNull())
@@ -213,5 +213,5 @@ def estimate_zones(rows: DataFrame, source: str, local: str, anchor: str, candid
     scored = tried.groupBy("source", "zone").agg(F.sum(wrong.cast("long")).alias("n_violations"), F.count(F.lit(1)).alias("n_aligned"))
     best = Window.partitionBy("source").orderBy("n_violations", "zone")  # one row a candidate
     ranked = scored.withColumn("__r", F.row_number().over(best)).withColumn("__next", F.lead("n_violations").over(best)).filter("__r = 1")
-    told = (F.col("n_violations") * 2 < F.col("n_aligned")) & (F.col("__next").isNull() | (F.col("__next") > F.col("n_violations")))
+    told = (F.col("n_violations") < F.col("n_aligned")) & (F.col("__next").isNull() | (F.col("__next") > F.col("n_violations")))
     return ranked.select("source", F.when(told, F.col("zone")).alias("zone"), "n_violations", "n_aligned")
