@@ -37,5 +37,4 @@ ORACLE = {
     "p3_per_key": _PER_KEY,
     "p5_found": f"SELECT table_name, row_id, field FROM ({_ORPHANS})",
     "p5_report": f"SELECT table_name, field, period, count(*) AS n_orphans FROM ({_ORPHANS}) GROUP BY ALL",
-    "p6_zone_estimates": "SELECT feed, zone FROM feeds WHERE feed IN (SELECT feed FROM node_props)",
 }
