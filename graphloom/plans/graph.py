@@ -168,6 +168,22 @@ class PropertyGraph:
             prefix = F.when(number == t.node.number, t.node.prefix) if prefix is None else prefix.when(number == t.node.number, t.node.prefix)
         return F.concat(prefix, key)
 
+    def order_key(self, code: Column) -> Column | None:
+        """A LONG that sorts as the id texts do, None if only the texts themselves will do.
+
+        The digits filled up to 16 places, then their number, under the rank of the prefix; prefixes must
+        differ in their first letter.
+        """
+        prefixes = sorted(t.node.prefix for t in self.nodes) if self.coded else []
+        if not prefixes or len(prefixes) > 7 or len({p[0] for p in prefixes}) < len(prefixes) or any(p[0].isdigit() for p in prefixes):
+            return None
+        digits = code.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("string")
+        number = F.shiftright(code, SHIFT)
+        rank = F.lit(0)
+        for t in self.nodes:
+            rank = F.when(number == t.node.number, prefixes.index(t.node.prefix)).otherwise(rank)
+        return F.rpad(digits, 16, "0").cast("long") * F.lit(32) + F.length(digits) + F.shiftleft(rank.cast("long"), 60)
+
     def locate(self, text: str) -> Column:
         """The identity of a node id as a literal (not checked for existence)."""
         if not self.coded:

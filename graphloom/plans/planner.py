@@ -61,6 +61,7 @@ class Plan:
         for r in query.returns or ():
             self._wants(r.operand)
         self.ranked = {v for c in comparisons(query.where) if isinstance(c, Compare) for v in self._ranked(c)}
+        self.ordered = {v for c in comparisons(query.where) if isinstance(c, Compare) for v in self._ordered(c)} if graph.order_key(F.lit(0)) is not None else set()
         self.sources = [self._sources_of(t) for t in query.triples]
         self.tables = self._prune()
 
@@ -74,6 +75,12 @@ class Plan:
         """Node variables that are compared with a number, that is with their rank."""
         return [x.name for x, y in ((c.left, c.right), (c.right, c.left)) if isinstance(x, Var) and x.name in self.nodes and isinstance(y, Literal) and y.kind == "long"]
 
+    def _ordered(self, c: Compare) -> list[str]:
+        """Node variables whose order is asked for."""
+        if c.op in ("=", "!=") or not all(isinstance(x, Var) and x.name in self.nodes for x in (c.left, c.right)):
+            return []
+        return [c.left.name, c.right.name]
+
     def _labels(self) -> dict[str, object]:
         """All label expressions of a variable hold together."""
         found: dict[str, list] = {}
@@ -145,7 +152,9 @@ class Plan:
         numbers = {"long", "double"}
         if "node" in (kind_l, kind_r):
             if kind_l == kind_r:
-                if c.op not in ("=", "!="):
+                if ordered := [v for v in self._ordered(c) if v in self.ordered]:
+                    left, right = (F.col(f"{self.column[v]}_order") for v in ordered)
+                elif c.op not in ("=", "!="):
                     left, right = self.graph.show(left), self.graph.show(right)
             else:
                 node, other = (c.left, c.right) if kind_l == "node" else (c.right, c.left)
@@ -202,6 +211,7 @@ class Plan:
                     found.add(self.column[x.name])
             if isinstance(one, Compare):
                 found |= {f"{self.column[v]}_rank" for v in self._ranked(one)}
+                found |= {f"{self.column[v]}_order" for v in self._ordered(one) if v in self.ordered}
         return frozenset(found)
 
     def _share(self, c) -> float:
@@ -374,6 +384,10 @@ class Plan:
         for t in self.query.triples:
             relations.append(self._edge_relation(t, props=t.edge.var is not None and t.edge.var not in with_props))
             with_props.add(t.edge.var)
+        for i, r in enumerate(relations):  # order keys are made where rows are read, so every branch of the join tree can compare
+            for v in sorted(r.variables & self.ordered):
+                df = relations[i].df.distinct() if relations[i].exists else relations[i].df
+                relations[i] = replace(relations[i], df=df.withColumn(f"{self.column[v]}_order", self.graph.order_key(F.col(self.column[v]))), exists=False)
         edge_count = len(relations)
         for v in self.query.node_variables():
             if self._node_join_needed(v):
@@ -404,6 +418,7 @@ class Plan:
                 only = relations[two] if isinstance(two, int) and relations[two].exists and relations[two].variables else None
                 right, bound_r, done_r = (only.df, only.variables, frozenset()) if only is not None and only.variables <= bound_l else build(two)
                 shared = [self.column[v] for v in sorted(bound_l & bound_r)]
+                right = right.drop(*[f"{c}_order" for c in shared])
                 if not shared:
                     out = left.crossJoin(right)
                 elif only is not None and only.variables <= bound_l:

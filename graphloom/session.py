@@ -59,6 +59,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores, for Python stages over an input that has fewer partitions than that.
+
+    A small Parquet file is one row group and thus one task, however many cores wait; an input with as
+    many partitions as cores is returned as it is, so large inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def fresh_name(taken: list[str], wish: str) -> str:
     """A column name that clashes with none of ``taken``, compared without regard to case."""
     low = {name.lower() for name in taken}
