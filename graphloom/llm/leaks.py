@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.looks import Rewriter, rewriting
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, spread
 
 WORDS = 12
 SHINGLE = 5
@@ -220,7 +220,7 @@ def leaked_windows(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
         raise ValueError("a window holds at least one shingle")
     spark = docs.sparkSession
     mapping = rewriting()
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = spread(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")), "doc")
     out = []
     for own in _blocks(items, item_id, text, Rewriter(mapping), words, shingle, block_shingles):
         block = spark.sparkContext.broadcast(own)

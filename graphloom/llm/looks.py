@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import spread
+
 # Letters of other alphabets and, below each, the letters that they look like.
 LOOK_ALIKES = (
     # Cyrillic
@@ -159,7 +161,7 @@ def member_frequencies(df: DataFrame, text: str) -> dict[str, int]:
         there = [m for m in members if high[ord(m)]]
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.string()), pa.array([int(high[ord(m)]) for m in there], pa.int64())], names=["member", "n"])
 
-    counted = df.select(F.col(f"`{text}`").cast("string")).mapInArrow(count, "member string, n long")
+    counted = spread(df.select(F.col(f"`{text}`").cast("string").alias("text")), "text").mapInArrow(count, "member string, n long")
     return {r["member"]: int(r["n"]) for r in counted.groupBy("member").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -218,7 +220,7 @@ def fingerprints(df: DataFrame, key: str, text: str, *, mapping: Mapping[str, st
         arrays = [keys.take(pa.array(there, pa.int64())), *(pa.array(np.ascontiguousarray(a[:, i])) for a in (looks, texts_) for i in (0, 1))]
         return pa.RecordBatch.from_arrays(arrays, names=[key, "look_1", "look_2", "text_1", "text_2"])
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(_mapped(mapping, make, schema), schema)
+    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("__text")), key).mapInArrow(_mapped(mapping, make, schema), schema)
 
 
 LOOK = ["look_1", "look_2"]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE splits text before its merges (a fixed value of the vocabulary).
@@ -58,7 +58,7 @@ def token_sizes(df: DataFrame, key: str, text: str, keep: Sequence[str] = (), to
             sizes = [len(encode(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64())], names=[key, *keep, "n_tokens"])
 
-    return df.select(*[F.col(f"`{c}`") for c in (key, *keep)], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return spread(df.select(*[F.col(f"`{c}`") for c in (key, *keep)], F.col(f"`{text}`").cast("string").alias("__text")), key).mapInArrow(run, schema)
 
 
 def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int]) -> list[int]:
