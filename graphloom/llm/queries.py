@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import leaks, looks, mixing
+from graphloom.session import cut_lineage
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -34,12 +35,14 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return looks.same_look_pairs(looks.fingerprints(_table(spark, sf, "documents"), "doc_id", "text"), "doc_id")
+    prints = cut_lineage(looks.fingerprints(_table(spark, sf, "documents"), "doc_id", "text"))  # the texts are read once
+    return looks.same_look_pairs(prints, "doc_id")
 
 
 def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with the smallest id that looks the same."""
-    return looks.look_classes(looks.fingerprints(_table(spark, sf, "documents"), "doc_id", "text"), "doc_id")
+    prints = cut_lineage(looks.fingerprints(_table(spark, sf, "documents"), "doc_id", "text"))
+    return looks.look_classes(prints, "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_classes)}
