@@ -12,7 +12,8 @@ Defined results
 * a group without a valid value reports null estimates, n = 0 and counts as certified.
 * null group keys form a group of their own; repeated rows count as often as they occur.
 * an empty table gives no rows.
-* key and value columns are taken by name, all other columns are dropped at the scan.
+* key and value columns are taken by name, all other columns are dropped at the scan; a key that is
+  named like a result column leaves that column a suffix ``_2``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, fresh_name
 
 DELTA = 400
 FAN_IN = 256
@@ -298,24 +299,26 @@ def certify(df: DataFrame, estimated: DataFrame, keys: Sequence[str], value: str
         for side, test in (("below", lambda a, b: a < b), ("upto", lambda a, b: a <= b))
     ]
     counted = joined.groupBy(*names).agg(*count)
+    found = estimated.select(*[F.col(f"`{k}`").alias(f"__f{i}") for i, k in enumerate(keys)], "__n", "__null", "__nan", "__out", "__est")
     on = F.lit(True)
-    for name, key in zip(names, keys):
-        on &= counted[name].eqNullSafe(estimated[key])
-    full = estimated.join(counted, on, "left")
+    for i, name in enumerate(names):
+        on &= F.col(name).eqNullSafe(F.col(f"__f{i}"))
+    full = found.join(counted, on, "left")
     points = F.array(*[
         F.struct(F.lit(float(q)).alias("q"), F.element_at("__est", i + 1).alias("estimate"), F.coalesce(F.col(f"__below{i}"), F.lit(0)).cast("long").alias("below"), F.coalesce(F.col(f"__upto{i}"), F.lit(0)).cast("long").alias("upto"))
         for i, q in enumerate(quantiles)
     ])
-    flat = full.select(*[F.col(f"`{k}`") for k in keys], F.col("__n").alias("n"), F.col("__null").alias("n_null"), F.col("__nan").alias("n_nan"), F.col("__out").alias("n_out_of_range"), F.explode(points).alias("__p"))
-    rank = F.col("__p.q") * F.col("n")
-    error = F.when(F.col("n") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("__p.below") - rank, rank - F.col("__p.upto")) / F.col("n"))
+    flat = full.withColumn("__p", F.explode(points))
+    n = F.col("__n")
+    rank = F.col("__p.q") * n
+    error = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("__p.below") - rank, rank - F.col("__p.upto")) / n)
     # a group of few rows cannot be cut closer than one row
-    allowed = F.greatest(F.lit(float(epsilon)), F.when(F.col("n") > 0, 1.0 / F.col("n")).otherwise(0.0))
-    return flat.select(
-        *[F.col(f"`{k}`") for k in keys], F.col("__p.q").alias("q"), "n", "n_null", "n_nan", "n_out_of_range",
-        F.col("__p.estimate").alias("estimate"), F.col("__p.below").alias("rank_low"), F.col("__p.upto").alias("rank_high"),
-        error.alias("rank_error"), (error <= allowed).alias("certified"),
-    )
+    allowed = F.greatest(F.lit(float(epsilon)), F.when(n > 0, 1.0 / n).otherwise(0.0))
+    columns = [F.col(f"__f{i}") for i in range(len(keys))] + [F.col("__p.q"), n, F.col("__null"), F.col("__nan"), F.col("__out"), F.col("__p.estimate"), F.col("__p.below"), F.col("__p.upto"), error, error <= allowed]
+    taken: list[str] = []
+    for wish in [*keys, "q", "n", "n_null", "n_nan", "n_out_of_range", "estimate", "rank_low", "rank_high", "rank_error", "certified"]:
+        taken.append(fresh_name(taken, wish))
+    return flat.select(*[c.alias(name) for c, name in zip(columns, taken)])
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99), *, delta: int = DELTA, epsilon: float = 0.005, lo: float | None = None, hi: float | None = None, digests: DataFrame | None = None) -> DataFrame:

@@ -74,7 +74,11 @@ def find_orphans(refs: DataFrame, targets: DataFrame, keys: Sequence[str], *, ma
         raise ValueError("match is simple, full or partial")
     if at and not (born and died):
         raise ValueError("a reference time needs the targets' born and died columns")
-    keys = list(keys)
+    names = refs.columns
+    place = {name: f"c{i}" for i, name in enumerate(names)}  # work under names that clash with nothing
+    refs = refs.toDF(*place.values())
+    targets = targets.select(*[F.col(f"`{k}`").alias(place[k]) for k in keys], *([F.col(f"`{born}`").alias("born"), F.col(f"`{died}`").alias("died")] if at else []))
+    keys, at = [place[k] for k in keys], place[at] if at else None
     everything = (1 << len(keys)) - 1
     mask = sum((F.when(F.col(f"`{k}`").isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(keys)), F.lit(0))
     if match == "full":
@@ -87,10 +91,10 @@ def find_orphans(refs: DataFrame, targets: DataFrame, keys: Sequence[str], *, ma
         complete = targets
         for c in columns:
             complete = complete.filter(F.col(f"`{c}`").isNotNull())
-        held = merged_lifetimes(complete, columns, born, died) if at else complete.select(*columns).distinct()
+        held = merged_lifetimes(complete, columns, "born", "died") if at else complete.select(*columns).distinct()
         found = _missing(group, held, columns, at, hot_keys, salts).select(*refs.columns)
         out = found if out is None else out.unionByName(found)
-    return out.unionByName(partly) if match == "full" else out
+    return (out.unionByName(partly) if match == "full" else out).toDF(*names)
 
 
 def orphan_report(orphans: DataFrame, by: Sequence[str]) -> DataFrame:

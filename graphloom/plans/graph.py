@@ -95,7 +95,7 @@ class NodeTable:
 class EdgeSource:
     """Edges of one or more types; ``src_nodes`` and ``dst_nodes`` name the tables that their ends lie in.
 
-    ``edge`` makes the edge's number out of the rows.
+    ``edge`` makes the edge's number out of the rows; ``simple`` says that no two edges join the same ends.
     """
 
     name: str
@@ -109,6 +109,7 @@ class EdgeSource:
     type_column: Column | None = None
     props: dict[str, tuple[Column, str]] = field(default_factory=dict)
     known_rows: dict[str, float] | None = None
+    simple: bool = False
 
     @cached_property
     def df(self) -> DataFrame:

@@ -39,6 +39,7 @@ class _Relation:
     rows: float
     exists: bool = False  # only tells whether its variables' values go together
     node: bool = False
+    single: bool = False  # its rows are distinct as they are
 
 
 class Plan:
@@ -280,7 +281,11 @@ class Plan:
             for c in own:
                 df = df.filter(self.condition(c))
                 rows *= self._share(c)
-        return _Relation(df, variables, max(rows, 1.0), exists=e is None)
+        sources = self.sources[self.query.triples.index(t)]
+        apart = all(not (a.src_nodes & b.src_nodes and a.dst_nodes & b.dst_nodes) for (a, _), (b, _) in combinations(sources, 2))
+        ends = all(end.var or end.const for end in (t.src, t.dst))
+        single = ends and apart and all(s.simple and len(types) == 1 for s, types in sources)
+        return _Relation(df, variables, max(rows, 1.0), exists=e is None, single=single)
 
     def _type(self, var: str) -> str:
         return "long" if self.graph.coded or var in self.edges else "string"
@@ -386,7 +391,7 @@ class Plan:
             with_props.add(t.edge.var)
         for i, r in enumerate(relations):  # order keys are made where rows are read, so every branch of the join tree can compare
             for v in sorted(r.variables & self.ordered):
-                df = relations[i].df.distinct() if relations[i].exists else relations[i].df
+                df = self._rows_of(relations[i])
                 relations[i] = replace(relations[i], df=df.withColumn(f"{self.column[v]}_order", self.graph.order_key(F.col(self.column[v]))), exists=False)
         edge_count = len(relations)
         for v in self.query.node_variables():
@@ -445,7 +450,7 @@ class Plan:
         """An anonymous edge says that its ends are joined, however often; node ids are unique anyhow."""
         if not r.variables:
             return r.df.limit(1).select()
-        return r.df.distinct() if r.exists and not r.node else r.df
+        return r.df.distinct() if r.exists and not r.node and not r.single else r.df
 
     def _output(self, df: DataFrame) -> DataFrame:
         items = self.query.returns or tuple(Return(Var(v), v) for v in self.names)

@@ -92,7 +92,8 @@ def graph_from_tables(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     edges = [
         EdgeSource(
             f"{table}:{kind}", partial(read, table), partial(_row_number, source=i), identity(*src), identity(*dst), frozenset({kind}),
-            frozenset({src[0]}), frozenset({dst[0]}), None, props(table) if table == "lineitem" else {},
+            frozenset({src[0]}), frozenset({dst[0]}), None, props(table) if table == "lineitem" else {}, None,
+            table != "lineitem",  # in the other tables one end is the key
         )
         for i, (kind, table, src, dst) in enumerate(_EDGES)
     ]

@@ -46,6 +46,13 @@ def test_percentiles_over_everything_and_nothing(spark):
         digest.percentiles(df, [], "v", ())
 
 
+def test_keys_named_like_result_columns(spark):
+    df = spark.range(100).selectExpr("id % 2 AS n", "CAST(NULL AS INT) AS q", "CAST(id AS DOUBLE) AS v")
+    out = digest.percentiles(df, ["n", "q"], "v", (0.5,))
+    assert out.columns[:4] == ["n", "q", "q_2", "n_2"]
+    assert sorted((r["n"], r["q"], r["q_2"], r["n_2"], r["certified"]) for r in out.collect()) == [(0, None, 0.5, 50, True), (1, None, 0.5, 50, True)]
+
+
 def test_salted_certification(spark, monkeypatch):
     monkeypatch.setattr(digest, "BROADCAST_GROUPS", 1)
     df = spark.range(3000).selectExpr("id % 3 AS k", "CAST(id AS DOUBLE) AS v")
@@ -131,6 +138,12 @@ def test_orphans_by_lifetime(spark):
     assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(spans, spans[1:]))
 
 
+def test_orphans_keep_columns_of_any_name(spark):
+    refs = spark.createDataFrame([("x", 1, 2, 3), ("y", 4, 5, 6)], "k string, __salt long, born long, __hot long")
+    out = orphans.find_orphans(refs, spark.createDataFrame([("x",)], "k string"), ["k"])
+    assert out.columns == refs.columns and [tuple(r) for r in out.collect()] == [("y", 4, 5, 6)]
+
+
 def test_orphans_need_sensible_arguments(spark):
     df = spark.createDataFrame([], REFS)
     with pytest.raises(ValueError):
