@@ -21,14 +21,18 @@ class PatternQuery:
     sql: str
     mode: str = "interleaved"
     edge_semantics: str = "homomorphism"
+    strategy: str = "pairwise"
 
     def __call__(self, spark: SparkSession, sf: str) -> DataFrame:
-        return match(graph_from_tables(spark, sf), self.pattern, mode=self.mode, edge_semantics=self.edge_semantics)
+        return match(graph_from_tables(spark, sf), self.pattern, mode=self.mode, edge_semantics=self.edge_semantics, strategy=self.strategy)
 
 
 LOCAL_SUPPLIER = "(?c:Customer)-[?e1:IN_NATION]->(?n:Nation), (?s:Supplier)-[?e2:IN_NATION]->(?n:Nation), (?c:Customer)-[?e3:PLACED]->(?o:Order), (?o:Order)-[?e4:SHIPPED_BY]->(?s:Supplier)"
 _LOCAL_SQL = """SELECT 'C' || c_custkey AS c, 'N' || c_nationkey AS n, 'S' || s_suppkey AS s, 'O' || o_orderkey AS o
     FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey"""
+_SQUARE = "(?a)-[?e1:CONTAINS]->(?p), (?b)-[?e2:CONTAINS]->(?p), (?a)-[?e3:CONTAINS]->(?q), (?b)-[?e4:CONTAINS]->(?q) WHERE (?a < ?b) AND (?p < ?q) RETURN ?a, ?b, ?p, ?q"
+_SQUARE_SQL = """WITH x AS (SELECT 'O' || l.l_orderkey AS a, 'O' || r.l_orderkey AS b, 'P' || l.l_partkey AS p FROM lineitem l JOIN lineitem r ON l.l_partkey = r.l_partkey AND 'O' || l.l_orderkey < 'O' || r.l_orderkey)
+        SELECT x.a, x.b, x.p, y.p AS q FROM x JOIN x y ON x.a = y.a AND x.b = y.b AND x.p < y.p"""
 _BIG = "(?c:Customer)-[:PLACED]->(?o:Order) WHERE (?o.totalprice > 300000.0) AND (?c.acctbal < 0) RETURN ?c, ?o, ?o.totalprice AS price"
 _BIG_SQL = "SELECT 'C' || c_custkey AS c, 'O' || o_orderkey AS o, o_totalprice AS price FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 300000.0 AND c_acctbal < 0"
 
@@ -76,11 +80,9 @@ PATTERNS: dict[str, PatternQuery] = {
         JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey AND b.n_regionkey = a.n_regionkey WHERE o_totalprice > 400000""",
     ),
     "cycle_local_supplier": PatternQuery(LOCAL_SUPPLIER + " RETURN ?c, ?n, ?s, ?o", _LOCAL_SQL),
-    "cycle_square_parts": PatternQuery(
-        "(?a)-[?e1:CONTAINS]->(?p), (?b)-[?e2:CONTAINS]->(?p), (?a)-[?e3:CONTAINS]->(?q), (?b)-[?e4:CONTAINS]->(?q) WHERE (?a < ?b) AND (?p < ?q) RETURN ?a, ?b, ?p, ?q",
-        """WITH x AS (SELECT 'O' || l.l_orderkey AS a, 'O' || r.l_orderkey AS b, 'P' || l.l_partkey AS p FROM lineitem l JOIN lineitem r ON l.l_partkey = r.l_partkey AND 'O' || l.l_orderkey < 'O' || r.l_orderkey)
-        SELECT x.a, x.b, x.p, y.p AS q FROM x JOIN x y ON x.a = y.a AND x.b = y.b AND x.p < y.p""",
-    ),
+    "cycle_square_parts": PatternQuery(_SQUARE, _SQUARE_SQL),
+    "cycle_square_multiway": PatternQuery(_SQUARE, _SQUARE_SQL, strategy="multiway"),
+    "cycle_local_multiway": PatternQuery(LOCAL_SUPPLIER + " RETURN ?c, ?n, ?s, ?o", _LOCAL_SQL, strategy="multiway"),
     "parallel_edges_distinct": PatternQuery(
         "(?o)-[?a:CONTAINS]->(?p), (?o)-[?b:CONTAINS]->(?p) RETURN ?o, ?p, ?a.quantity AS qa, ?b.quantity AS qb",
         "WITH l AS (SELECT *, row_number() OVER () AS i FROM lineitem) SELECT 'O' || a.l_orderkey AS o, 'P' || a.l_partkey AS p, a.l_quantity AS qa, b.l_quantity AS qb FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey AND a.i <> b.i",

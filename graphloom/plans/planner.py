@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import GraphQueryError, QueryTimeout
 from graphloom.functions.ordinal import as_timestamp, ordinal_of, ordinal_of_text, ordinal_of_timestamp, text_of_ordinal
+from graphloom.operators.multiway import EdgeSet, multiway_join
 from graphloom.plans.ast import And, Compare, LabelAnd, Literal, Name, NullTest, Or, Prop, Query, Return, Triple, Var, comparisons, conjuncts, holds, variables_of
 from graphloom.plans.binder import check
 from graphloom.plans.graph import EdgeSource, PropertyGraph
@@ -25,6 +26,7 @@ from graphloom.session import fresh_name
 
 MODES = ("interleaved", "prefilter", "postfilter")
 EDGE_SEMANTICS = ("homomorphism", "distinct")
+STRATEGIES = ("pairwise", "multiway")
 #: Up to so many relations all join trees are weighed, beyond that the order is greedy.
 BUSHY = 10
 #: Weight of a join without a shared variable.
@@ -45,11 +47,14 @@ class _Relation:
 class Plan:
     """One query over one graph."""
 
-    def __init__(self, query: Query, graph: PropertyGraph, mode: str = "interleaved", edge_semantics: str = "homomorphism"):
+    def __init__(self, query: Query, graph: PropertyGraph, mode: str = "interleaved", edge_semantics: str = "homomorphism", strategy: str = "pairwise"):
+        if strategy not in STRATEGIES:
+            raise ValueError(f"strategy is one of {STRATEGIES}")
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}")
         if edge_semantics not in EDGE_SEMANTICS:
             raise ValueError(f"edge_semantics is one of {EDGE_SEMANTICS}")
+        self.strategy = strategy
         self.query, self.graph, self.mode, self.distinct = query, graph, mode, edge_semantics == "distinct"
         self.names = query.variables()
         self.column = {v: f"v{i}" for i, v in enumerate(self.names)}
@@ -411,6 +416,9 @@ class Plan:
             waiting = [(self._needs(c), self.condition(c)) for c in conjuncts(self.query.where) if not any(c is d for d in done)]
         waiting += self._edge_conditions()
 
+        if self.strategy == "multiway":
+            relations = self._with_core(relations, edge_count)
+
         def build(tree) -> tuple[DataFrame, frozenset[str], frozenset[int]]:
             """The joined rows, their variables and which of the waiting conditions they already satisfy."""
             if isinstance(tree, int):
@@ -443,6 +451,48 @@ class Plan:
                 out = out.filter(self.condition(c))
         return self._output(out)
 
+    def _with_core(self, relations: list[_Relation], edge_count: int) -> list[_Relation]:
+        """The relations with the edges between node variables of a cyclic pattern joined to one.
+
+        Node conditions and labels reduce those edges first; node tables join again afterwards where their
+        properties are asked for.  Patterns without such a cycle are left as they are.
+        """
+        picked = [i for i, t in enumerate(self.query.triples) if t.src.var and t.dst.var]
+        while True:  # an end that only one edge touches closes no cycle
+            ends = [v for i in picked for v in (self.query.triples[i].src.var, self.query.triples[i].dst.var)]
+            kept = [i for i in picked if all(ends.count(v) > 1 for v in (self.query.triples[i].src.var, self.query.triples[i].dst.var))]
+            if kept == picked:
+                break
+            picked = kept
+        named = [self.query.triples[i].edge.var for i in picked if self.query.triples[i].edge.var]
+        if len(picked) < 3 or len(set(named)) < len(named):
+            return relations
+        sets, spare = [], []
+        for i in picked:
+            t, r = self.query.triples[i], relations[i]
+            df = r.df
+            for held in relations[edge_count:]:
+                (v,) = held.variables
+                if v in r.variables:
+                    df = df.join(held.df.select(self.column[v]), self.column[v], "left_semi")
+            s, o = self.column[t.src.var], self.column[t.dst.var]
+            e = self.column[t.edge.var] if t.edge.var else None
+            if e and df.schema[e].dataType.simpleString() != "bigint":
+                return relations
+            sets.append(EdgeSet(df.select(F.col(s).alias("s"), F.col(o).alias("o"), *([F.col(e).alias("e")] if e else [])), s, o, e, r.rows))
+            if e and (self.keys[t.edge.var] and self.prop_column(t.edge.var, self.keys[t.edge.var][0]) in r.df.columns):
+                spare.append(replace(r, df=r.df.drop(s, o, f"{s}_order", f"{o}_order"), variables=frozenset({t.edge.var})))
+        try:
+            df = multiway_join(sets)
+        except ValueError:  # two cycles without a common variable
+            return relations
+        variables = frozenset(v for i in picked for v in relations[i].variables)
+        for v in sorted(variables & self.ordered):
+            df = df.withColumn(f"{self.column[v]}_order", self.graph.order_key(F.col(self.column[v])))
+        core = _Relation(df, variables, min(r.rows for r in (relations[i] for i in picked)), single=True)
+        nodes = [r for r in relations[edge_count:] if not (r.exists and r.variables <= variables)]
+        return [core, *spare, *(r for i, r in enumerate(relations[:edge_count]) if i not in picked), *nodes]
+
     def _placed(self, c, node_relations: list[_Relation]) -> bool:
         return any(r.variables == variables_of(c) for r in node_relations)
 
@@ -470,19 +520,20 @@ class Plan:
         return df if self.query.limit is None else df.limit(self.query.limit)
 
 
-def match(graph: PropertyGraph, query: str | Query, *, mode: str = "interleaved", edge_semantics: str = "homomorphism", limit: int | None = None, check_constants: bool = True) -> DataFrame:
+def match(graph: PropertyGraph, query: str | Query, *, mode: str = "interleaved", edge_semantics: str = "homomorphism", strategy: str = "pairwise", limit: int | None = None, check_constants: bool = True) -> DataFrame:
     """The bindings of a pattern as a lazy DataFrame, one row for each assignment of all variables.
 
     Columns: the RETURN items, or all variables in order of first appearance; a node is its id, an edge
     its number.  ``mode`` places the filters: among the joins, as semi-join reducers before them, or after
-    them.  ``edge_semantics='distinct'`` keeps different edge variables on different edges.  ``limit`` takes
+    them.  ``strategy='multiway'`` joins the edges of a cycle in one shuffle instead of pair by pair, for cycles
+    whose pairs are far more than their closings.  ``edge_semantics='distinct'`` keeps different edge variables on different edges.  ``limit`` takes
     any so many rows.  Empty tables give no rows; a missing property fails every comparison, also ``!=``.
     """
     tree = parse(query) if isinstance(query, str) else query
     check(tree, graph, constants=check_constants)
     if limit:
         tree = replace(tree, limit=limit if tree.limit is None else min(limit, tree.limit))
-    return Plan(tree, graph, mode, edge_semantics).dataframe()
+    return Plan(tree, graph, mode, edge_semantics, strategy).dataframe()
 
 
 def within(df: DataFrame, seconds: float, action=DataFrame.count):

@@ -105,6 +105,23 @@ def test_modes_and_edge_semantics_agree(graphs, pattern):
     assert sorted((tuple(r) for r in match(graph, rewritten).collect()), key=repr) == distinct
 
 
+@pytest.mark.parametrize(
+    "pattern",
+    [
+        "(?a)-[?e]->(?b), (?b)-[?f]->(?c), (?c)-[:T]->(?a)",
+        "(?a:A)-[?e]->(?b), (?b)-[?f]->(?c), (?c)-[]->(?a) WHERE (?e.w <= ?f.w) AND ((?a.x > 0) OR (?b.y > 1.0)) AND (?a < ?c)",
+        "(?a)-[:T]->(?p), (?b)-[:T]->(?p), (?a)-[:U]->(?q), (?b)-[:U]->(?q), (?q)-[?g:V]->(?z) WHERE (?a != ?b)",
+        "(?a)-[?e:T]->(?b), (?a)-[?f]->(?b), (?b)-[:(U OR V)]->(?a)",
+        "(?a)-[?e]->(?b), (?b)-[?f]->(?c)",
+    ],
+)
+def test_multiway_strategy(graphs, pattern):
+    for nodes, edges, graph in graphs:
+        rows = sorted((tuple(r) for r in match(graph, pattern, strategy="multiway").collect()), key=repr)
+        assert rows == evaluate(parse(pattern), nodes, edges)
+        assert ("FlatMapGroupsInArrow" in match(graph, pattern, strategy="multiway")._jdf.queryExecution().toString()) == (pattern.count("->") > 2)
+
+
 def test_random_patterns(graphs):
     r = random.Random(5)
     nodes, edges, graph = graphs[1]
