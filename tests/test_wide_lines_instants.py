@@ -145,6 +145,12 @@ def test_single_lines(spark, line, reason):
         assert strict_lsqb(line) == (reason is None)
 
 
+def test_any_character_survives(spark):
+    odd = "x\ue000y\ue001z\nw\r\ue002"
+    df = spark.createDataFrame([(1, f'S,"{odd}",7,2,1,10,3,{P}')], "line_id long, line string")
+    assert rejects.load_lines(df, rejects.LSQB_RESULTS).head()["c2"] == odd
+
+
 def test_typed_rows_and_kept_columns(spark):
     df = spark.createDataFrame([(1, f'S,"two\nlines\r",7,2,1.5e1,10,3,{P}', "f"), (1, f'S,"two\nlines\r",7,2,1.5e1,10,3,{P}', "f"), (2, "x", None)], "line_id long, line string, other string")
     loaded = rejects.load_lines(df, rejects.LSQB_RESULTS, keep=["line_id", "other"])
