@@ -43,7 +43,7 @@ LOOK_ALIKES = (
 #: Format characters that are drawn: number and verse signs set before other characters.
 _DRAWN = set(map(chr, [*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD]))
 #: Fillers that are drawn as nothing, though they count as letters or marks.
-_FILLERS = "͏ᅟᅠ឴឵ㅤﾠ"
+_FILLERS = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
 
 
 def is_invisible(char: str) -> bool:
