@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import digest, heavy, instants, orphans, rejects, wide
+from graphloom.operators import digest, heavy, instants, orphans, pairs, rejects, wide
+from graphloom.session import cut_lineage
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 #: Run times are plausible from 0 up to a day in milliseconds.
@@ -160,14 +161,8 @@ def p6_instants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    times = _times(spark, sf, _all_zones(spark, sf)).filter(F.col("instant").isNotNull() & F.col("variable").isNotNull()).select("variable", "key", "instant", "value", "prop_id")
-    # only groups with at least two different texts take part in the join
-    several = times.groupBy("variable", "key", "instant").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).filter("lo < hi").drop("lo", "hi")
-    rows = times.join(several, ["variable", "key", "instant"], "left_semi")
-    a = rows.select("variable", "key", "instant", F.col("value").alias("value_a"), F.col("prop_id").alias("prop_id_a"))
-    b = rows.select("variable", "key", "instant", F.col("value").alias("value_b"), F.col("prop_id").alias("prop_id_b"))
-    pairs = a.join(b, ["variable", "key", "instant"]).filter((F.col("prop_id_a") < F.col("prop_id_b")) & (F.col("value_a") != F.col("value_b")))
-    return pairs.select("prop_id_a", "prop_id_b")
+    times = _times(spark, sf, _all_zones(spark, sf)).filter(F.col("instant").isNotNull()).select("variable", "key", "instant", "value", "prop_id")
+    return pairs.differing_pairs(cut_lineage(times), ["variable", "key", "instant"], "value", "prop_id")  # texts are read once
 
 
 def p6_zone_estimates(spark: SparkSession, sf: str) -> DataFrame:

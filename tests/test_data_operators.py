@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from graphloom.operators import digest, heavy, orphans, ranks
+from graphloom.operators import digest, heavy, orphans, pairs, ranks
 from graphloom.session import fresh_name
 
 
@@ -152,6 +152,18 @@ def test_orphans_need_sensible_arguments(spark):
         orphans.find_orphans(df, df, ["a"], at="at")
 
 
+def test_differing_pairs(spark):
+    from itertools import combinations
+
+    r = random.Random(9)
+    rows = [(i, r.choice(["g", "h", None]), r.choice([1, 2]), r.choice(["x", "y", "z", None])) for i in range(60)] + [(100 + i, "hot", 1, "same") for i in range(300)] + [(500, "hot", 1, "other")]
+    df = spark.createDataFrame(rows, "Key long, g1 string, g2 long, text string").repartition(3)
+    want = {(a[0], b[0]) for a, b in combinations(rows, 2) if None not in a + b and a[1:3] == b[1:3] and a[3] != b[3]}
+    got = pairs.differing_pairs(df, ["g1", "g2"], "text", "Key")
+    assert got.columns == ["Key_a", "Key_b"] and sorted(tuple(x) for x in got.collect()) == sorted(want)
+    assert pairs.differing_pairs(df.limit(0), ["g1"], "text", "Key").count() == 0
+
+
 def test_dense_ranks(spark):
     df = spark.createDataFrame([(f"n{i * 37 % 501}",) for i in range(501)], "id string").repartition(5)
     rows = ranks.dense_ranks(df, ["id"], "rank").collect()
