@@ -139,10 +139,15 @@ def _times(spark: SparkSession, sf: str, zones: dict[str, str]) -> DataFrame:
 
 def _estimated(spark: SparkSession, sf: str, zones: dict[str, str]) -> DataFrame:
     """Zones estimated from local times beside another statement of the same cell that says its zone."""
-    times = _times(spark, sf, zones).filter(F.col("variable").isNotNull() & F.col("feed").isNotNull())
-    told = times.filter(F.col("explicit").isNotNull()).groupBy("variable", "key", F.col("explicit").alias("anchor")).agg(F.lit(1).alias("one")).drop("one")
-    local = times.filter(F.col("local").isNotNull()).groupBy("variable", "key", "feed", "local").agg(F.lit(1).alias("one")).drop("one")
-    return instants.estimate_zones(local.join(told, ["variable", "key"]), "feed", "local", "anchor", sorted(set(zones.values())))
+    times = cut_lineage(_times(spark, sf, zones).filter(F.col("variable").isNotNull() & F.col("feed").isNotNull()).select("variable", "key", "feed", "local", "explicit"))
+    told = times.filter(F.col("explicit").isNotNull()).select("variable", "key", F.col("explicit").alias("anchor")).distinct()
+    local = times.filter(F.col("local").isNotNull()).select("variable", "key", "feed", "local").distinct()
+    # only times near each other meet: each lies in a span, anchors also in the spans on either side
+    span = instants.WITHIN_HOURS * 3_600_000_000
+    near = lambda c: F.floor(F.col(c) / F.lit(span)).cast("long")
+    told = told.withColumn("span", F.explode(F.array(near("anchor") - 1, near("anchor"), near("anchor") + 1)))
+    both = local.withColumn("span", near("local")).join(told, ["variable", "key", "span"])
+    return instants.estimate_zones(both, "feed", "local", "anchor", sorted(set(zones.values())))
 
 
 def _all_zones(spark: SparkSession, sf: str) -> dict[str, str]:

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Local times and their instants lie less far apart than this; 26 hours are the most that offsets span.
+WITHIN_HOURS = 30
 _CLOCK = r"(?P<h>[0-9]{1,2}):(?P<mi>[0-9]{2})(?::(?P<s>[0-9]{2})(?:[.,](?P<f>[0-9]{1,12}))?)?(?:\s?(?P<ap>[AaPp])\.?[Mm]\.?)?"
 _TAIL = r"\s?(?P<off>[Zz]|[+-][0-9]{2}(?::?[0-9]{2}(?::?[0-9]{2})?)?)?(?:\s?(?P<abbr>[A-Za-z]{2,5}))?(?:\s?(?P<zone>\[[A-Za-z0-9_+\-/]+\]|[A-Za-z]+(?:/[A-Za-z0-9_+\-]+)+))?"
 _MONTH = r"(?P<mon>[A-Za-z]{3,9})\.?"
@@ -193,7 +195,7 @@ def to_instant(text: Column, feed: Column, zones: Mapping[str, str]) -> Column:
     return read_times(text, zone_column(feed, zones), zones)["instant"]
 
 
-def estimate_zones(rows: DataFrame, source: str, local: str, anchor: str, candidates: list[str], *, relation: str = "equal", within_hours: int = 30) -> DataFrame:
+def estimate_zones(rows: DataFrame, source: str, local: str, anchor: str, candidates: list[str], *, relation: str = "equal", within_hours: int = WITHIN_HOURS) -> DataFrame:
     """The zone of each source from the alignment of its local timestamps with anchor times.
 
     ``local`` and ``anchor`` are microseconds.  ``relation``: ``equal`` - the anchor is the same instant
