@@ -228,8 +228,12 @@ SALTS = 8
 
 
 def look_classes(prints: DataFrame, key: str) -> DataFrame:
-    """Every row with its class: (key, class_id, n_texts); class_id is the smallest key that looks the same."""
-    per_class = prints.groupBy(*LOOK).agg(F.min(key).alias("class_id"), F.approx_count_distinct("text_1").alias("n_texts"))
+    """Every row with its class: (key, class_id, n_texts); class_id is the smallest key that looks the same.
+
+    ``n_texts`` is the exact number of different texts in the class; copies of a text are put together first.
+    """
+    per_text = prints.groupBy(*LOOK, "text_1", "text_2").agg(F.min(key).alias("class_id"))
+    per_class = per_text.groupBy(*LOOK).agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
     return prints.select(key, *LOOK).join(per_class, LOOK).select(key, "class_id", "n_texts")
 
 

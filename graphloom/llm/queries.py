@@ -40,7 +40,10 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with the smallest id that looks the same."""
+    """Every document that has a text, with the smallest id that looks the same and the exact number of different texts.
+
+    Null and empty texts have no look: as in ``p9_found`` they take no part and get no row.
+    """
     prints = cut_lineage(looks.fingerprints(_table(spark, sf, "documents"), "doc_id", "text"))
     return looks.look_classes(prints, "doc_id")
 

@@ -69,6 +69,19 @@ def test_pairs_and_classes(spark):
     assert {classes[i] for i in (0, 1, 2, 3, 5)} == {(0, 4)} and classes[4] == (4, 1)
 
 
+def test_texts_of_a_class_are_counted_exactly(spark):
+    """Classes of two texts with a copy of one of them, of two texts that share half of their hash, and of very many texts."""
+    n, many = 20_000, 30_000
+    two = spark.range(3 * n).selectExpr("id as doc_id", "id div 3 as look_1", "1L as look_2", "xxhash64(if(id % 3 = 2, id - 1, id)) as text_1", "0L as text_2")
+    half = spark.range(2).selectExpr("id + 1000000 as doc_id", "1L as look_1", "2L as look_2", "7L as text_1", "id as text_2")
+    large = spark.range(many).selectExpr("id + 2000000 as doc_id", "1L as look_1", "3L as look_2", "xxhash64(id) as text_1", "xxhash64(id, 1) as text_2")
+    got = looks.look_classes(two.union(half).union(large), "doc_id").groupBy("class_id", "n_texts").count().collect()
+    assert len(got) == n + 2
+    of = {r["class_id"]: (r["n_texts"], r["count"]) for r in got}
+    assert of.pop(1000000) == (2, 2) and of.pop(2000000) == (many, many)
+    assert set(of) == set(range(0, 3 * n, 3)) and set(of.values()) == {(2, 3)}
+
+
 def test_many_copies_of_one_text(spark):
     texts = ["same"] * 600 + ["ѕame", "samе"]
     pairs = {tuple(r) for r in looks.same_look_pairs(looks.fingerprints(table(spark, texts), "doc_id", "text"), "doc_id").collect()}
