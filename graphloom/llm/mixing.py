@@ -5,7 +5,9 @@ apportionment gives each next block to the source with the highest quotient ``sh
 within a source to its shards by the same rule, so every shard gets an integer quota.  Inside a shard
 documents stand in a seeded order; a quota takes whole passes over the shard and then the first
 blocks of that order, where documents are taken whole and the gap that the last one leaves is filled by
-later ones that fit.  A document is taken at most ``max_repeats`` times.
+later ones that fit, till none of the shard fits.  What is left then of all shards of a source goes to its
+smallest documents that are still out (the seeded order among equals), till none of the source fits.  A
+document is taken at most ``max_repeats`` times, and at most once beyond the whole passes over its shard.
 
 Without a wish for ``total_tokens`` the mix is as large as all shares allow.  Beyond that, sources that
 are used up give all they may and the others fill the rest; the shares reached are reported.
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.session import cut_lineage, spread
 
@@ -36,7 +39,6 @@ BLOCKS = 100_000
 MOST_BLOCK_TOKENS = 65_536
 SHARD_TOKENS = 1 << 26
 MOST_TARGETS = 10_000
-REFILLS = 2
 
 
 def source_key(column):
@@ -95,6 +97,36 @@ def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int]) -> l
     return given.tolist()
 
 
+def take_what_fits(sizes: np.ndarray, left: int) -> tuple[np.ndarray, int]:
+    """One pass in order that takes each size that fits into what is left: which are taken, and the rest."""
+    taken = np.zeros(len(sizes), bool)
+    at = np.flatnonzero(sizes <= left)
+    while at.size:
+        sums = np.cumsum(sizes[at])
+        n = int(np.searchsorted(sums, left, "right"))
+        taken[at[:n]] = True
+        left -= int(sums[n - 1])
+        at = at[n + 1 :]
+        at = at[sizes[at] <= left]
+    return taken, left
+
+
+def fill(batches):
+    """Shards whole and in order, ``nth`` counting their rows, with ``taken``; what is left of a shard's ``rest`` is carried along."""
+    left, before = 0, -1
+    for batch in batches:
+        sizes, rests, nth = (batch.column(c).to_numpy() for c in ("n_tokens", "rest", "nth"))
+        if len(nth) and not np.all((nth == 1) | (nth == np.append(before, nth[:-1]) + 1)):
+            raise RuntimeError("a shard is not whole or not in order")
+        taken = np.zeros(len(nth), bool)
+        starts = sorted({0, *np.flatnonzero(nth == 1).tolist()})
+        for a, b in zip(starts, [*starts[1:], len(nth)]) if len(nth) else ():
+            left = int(rests[a]) if nth[a] == 1 else left
+            taken[a:b], left = take_what_fits(sizes[a:b], left)
+        before = int(nth[-1]) if len(nth) else before
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken)], names=[*batch.schema.names, "taken"])
+
+
 def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", total_tokens: int | None = None, seed: int = SEED, tokenizer: str = TOKENIZER, blocks: int = BLOCKS, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, DataFrame]:
     """The mix ``(doc_id, source, n_tokens, copies)`` and its report.
 
@@ -128,26 +160,33 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: st
     def by_shard(pdf):
         pdf = pdf.sort_values("shard")
         name = pdf["source"].iloc[0]
-        pdf["quota"] = sainte_lague(pdf["tokens"].tolist(), quota[name], [t * repeats[name] // size + 1 for t in pdf["tokens"].tolist()])
+        room = pdf["tokens"].to_numpy(np.int64) * repeats[name]
+        want = np.asarray(sainte_lague(pdf["tokens"].tolist(), quota[name], (room // size + 1).tolist()), np.int64) * size
+        given = np.minimum(want, room)
+        # what a shard is asked beyond all it may give goes to the next ones with room
+        room -= given
+        pdf["quota"] = given + np.clip((want - given).sum() - (np.cumsum(room) - room), 0, room)
         return pdf[["source", "shard", "tokens", "quota"]]
 
-    # one row for each shard of a source
+    # one row for each shard of a source; the quota in tokens
     quotas = per_shard.groupBy("source").applyInPandas(by_shard, "source string, shard int, tokens long, quota long")
-    order = Window.partitionBy("source", "shard").orderBy("place", doc_id)
-    placed = dealt.withColumn("before", F.sum("n_tokens").over(order) - F.col("n_tokens")).join(quotas, ["source", "shard"])
-    most = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(repeats.items()) for x in kv]), F.col("source")) if repeats else F.lit(0)
-    want = F.col("quota") * F.lit(size)
-    whole_shard = Window.partitionBy("source", "shard")
-    rest = F.col("rest")
-    placed = placed.withColumn("passes", F.least(most.cast("long"), F.floor(want / F.col("tokens")))).withColumn("rest", F.when(F.col("passes") < most, want - F.col("passes") * F.col("tokens")).otherwise(0))
-    # documents that lie wholly within the quota, then, in the same order, those that still fit into what is left
-    placed = placed.withColumn("taken", F.col("before") + F.col("n_tokens") <= rest)
-    for _ in range(REFILLS):
-        placed = placed.withColumn("left", rest - F.sum(F.when(F.col("taken"), F.col("n_tokens")).otherwise(0)).over(whole_shard))
-        fits = ~F.col("taken") & (F.col("n_tokens") <= F.col("left"))
-        placed = placed.withColumn("taken", F.col("taken") | (fits & (F.sum(F.when(fits, F.col("n_tokens")).otherwise(0)).over(order) <= F.col("left"))))
+    placed = dealt.join(quotas, ["source", "shard"]).withColumn("passes", F.floor(F.col("quota") / F.col("tokens"))).withColumn("rest", F.col("quota") - F.col("passes") * F.col("tokens"))
+    # the window, unlike a repartition, binds the plan to keep each shard whole and in order up to the Python stage
+    placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy("source", "shard").orderBy("place", doc_id))).select(doc_id, "source", "shard", "place", "n_tokens", "passes", "rest", "nth")
+    filled = cut_lineage(placed.mapInArrow(fill, T.StructType([*placed.schema.fields, T.StructField("taken", T.BooleanType())])))
     copies = F.col("passes") + F.col("taken").cast("long")
-    mixed = placed.withColumn("copies", copies).filter("copies > 0").select(doc_id, "source", "n_tokens", "copies")
+    # one row for each source that has a target
+    left = {r[0]: quota[r[0]] * size - int(r[1]) for r in filled.groupBy("source").agg(F.sum(F.col("n_tokens") * copies)).collect()}
+    if any(left.values()):
+        # what the shards of a source leave together goes to its smallest documents that are still out, till none fits
+        of_source = {k: F.element_at(F.create_map(*[F.lit(x) for kv in sorted(by.items()) for x in kv]), F.col("source")) for k, by in (("left", left), ("most", repeats))}
+        smallest, out = F.struct("n_tokens", "place", doc_id), ~F.col("taken") & (F.col("passes") < of_source["most"])
+        more = filled.withColumn("left", of_source["left"]).filter(out & (F.col("n_tokens") <= F.col("left")))
+        for within in (["source", "shard"], ["source"]):  # a shard offers no more than the source has left
+            more = more.withColumn("sum", F.sum("n_tokens").over(Window.partitionBy(*within).orderBy("n_tokens", "place", doc_id))).filter("sum <= left")
+        last = more.groupBy("source").agg(F.max(smallest).alias("last"))
+        filled = filled.join(F.broadcast(last), "source", "left").withColumn("taken", F.col("taken") | (out & F.coalesce(smallest <= F.col("last"), F.lit(False))))
+    mixed = filled.withColumn("copies", copies).filter("copies > 0").select(doc_id, "source", "n_tokens", "copies")
 
     reached = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
     available = sizes.filter(F.col("source").isNotNull()).groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))

@@ -71,6 +71,50 @@ def test_shares_and_repeats(spark):
     assert other != set(picked)
 
 
+@pytest.mark.parametrize("seed", [1])
+@pytest.mark.parametrize(("shard_tokens", "blocks", "repeats"), [(1 << 26, 100_000, 1), (2000, 100_000, 1), (2000, 100_000, 2), (1500, 5, 1), (500, 7, 4)])
+def test_quota_is_filled_till_nothing_fits(spark, seed, shard_tokens, blocks, repeats):
+    r = random.Random(seed)
+    df = spark.createDataFrame([(i, "word " * r.randint(3, 200), "a", "x") for i in range(300)], DOCS).repartition(3)
+    targets = spark.createDataFrame([("a", 1.0, repeats)], TARGETS)
+    supply = mixing.mix(df, targets)[1].first()["available_tokens"]
+    size = max(1, supply // blocks)
+    for total in (supply // 3, supply * repeats * 9 // 10):
+        mixed, report = mixing.mix(df, targets, total_tokens=total, shard_tokens=shard_tokens, blocks=blocks, seed=seed)
+        copies = {x["doc_id"]: x["copies"] for x in mixed.collect()}
+        left = total // size * size - report.first()["mixed_tokens"]
+        sizes = {x["doc_id"]: x["n_tokens"] for x in mixing.token_sizes(df, "doc_id", "text").collect()}
+        out = [n for i, n in sizes.items() if i not in copies] or [n for i, n in sizes.items() if copies[i] == min(copies.values())]
+        assert 0 <= left < min(out) and max(copies.values()) <= repeats
+
+
+def test_shards_stay_whole_when_a_join_is_planned_anew(spark):
+    """A quota join that turns into a broadcast while running must not spread the rows of a shard."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.shuffle.partitions": "12"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    df = spark.range(60_000).selectExpr("id as doc_id", "repeat('word ', int(1 + id % 9)) as text", "if(id % 3 = 0, 'a', 'b') as source").repartition(8)
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 2)], TARGETS)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        report = {r["source"]: r for r in mixing.mix(df, targets, total_tokens=150_000)[1].collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert 149_900 <= sum(r["mixed_tokens"] for r in report.values()) <= 150_000
+
+
+def test_one_ordered_pass_takes_what_fits():
+    r = random.Random(4)
+    for _ in range(300):
+        sizes, left = [r.randint(1, 40) for _ in range(r.randint(0, 60))], r.randint(0, 500)
+        taken, rest = mixing.take_what_fits(mixing.np.array(sizes, "int64"), left)
+        for n, got in zip(sizes, taken):
+            assert got == (n <= left)
+            left -= n * got
+        assert rest == left
+
+
 def test_used_up_sources_give_all_they_may(spark):
     df = spark.createDataFrame(docs_of(spark), DOCS)
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2)], TARGETS)
