@@ -12,7 +12,7 @@ Items are held in blocks of at most ``block_shingles`` shingles, each broadcast
 whole corpus in turn, so any number of items is handled by bounded tasks.
 
 Defined results: null and empty texts and texts of fewer than ``words`` words leak nothing; repeated
-documents and items are each reported.
+documents and items are each reported; a document without an id is reported with a null one.
 """
 
 from __future__ import annotations
@@ -225,12 +225,12 @@ def leaked_windows(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     for own in _blocks(items, item_id, text, Rewriter(mapping), words, shingle, block_shingles):
         block = spark.sparkContext.broadcast(own)
         marked = cut_lineage(rows.mapInArrow(_mark(block, mapping), "doc long, start int, shingles array<int>, counts array<bigint>"))
-        counted = marked.filter(F.col("doc").isNull()).select(F.explode(F.arrays_zip("shingles", "counts")).alias("c")).groupBy("c.shingles").agg(F.sum("c.counts").alias("n"))
+        counted = marked.filter(F.col("counts").isNotNull()).select(F.explode(F.arrays_zip("shingles", "counts")).alias("c")).groupBy("c.shingles").agg(F.sum("c.counts").alias("n"))
         counts = np.zeros(len(own.shingles), np.int64)
         for row in counted.toLocalIterator():  # one row for each item shingle of the block that occurs
             counts[row[0]] = row[1]
         prefixes = spark.sparkContext.broadcast(_prefixes(own, counts))
-        out.append(marked.filter(F.col("doc").isNotNull()).select("doc", "start", "shingles").mapInArrow(_verify(block, prefixes), "doc long, item long, item_at int, doc_at int"))
+        out.append(marked.filter(F.col("counts").isNull()).select("doc", "start", "shingles").mapInArrow(_verify(block, prefixes), "doc long, item long, item_at int, doc_at int"))
     if not out:
         return spark.createDataFrame([], "doc long, item long, item_at int, doc_at int")
     return reduce(DataFrame.unionByName, out)

@@ -52,6 +52,14 @@ def test_against_all_windows(spark, seed, words, shingle, vocabulary):
         assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_documents_without_an_id(spark):
+    docs, items = sample(1)
+    docs = [(None if d % 7 == 0 else d, text) for d, text in docs]
+    want = brute(docs, items, 6)
+    got = leaks.leaked_windows(*frames(spark, docs, items), words=6, shingle=3).collect()
+    assert any(d is None for d, *_ in want) and {tuple(r) for r in got} == want
+
+
 def test_words():
     assert leaks.words_of("Don't_STOP – 3.5", PLAIN) == ["don", "t", "stop", "3", "5"]
     assert leaks.words_of("ＡＢＣ а_ÄÖ", PLAIN) == ["abc", "a", "äö"]
