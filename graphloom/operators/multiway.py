@@ -158,7 +158,7 @@ def elimination_order(edge_sets: Sequence[EdgeSet]) -> list[str]:
 def multiway_join(edge_sets: Sequence[EdgeSet], *, cells: int | None = None) -> DataFrame:
     """All bindings of connected edge sets: a column for each node variable and each edge variable.
 
-    Ends are of one type, long or string.  A task joins one cell; there are as many cells as keep about
+    Ends are of one type, long or string; edge numbers are longs or any type that casts to text and back.  A task joins one cell; there are as many cells as keep about
     ``CELL_ROWS`` rows in each, and at least one for each core.
     """
     if any(r.src == r.dst for r in edge_sets):
@@ -174,8 +174,8 @@ def multiway_join(edge_sets: Sequence[EdgeSet], *, cells: int | None = None) ->
 
     kind = edge_sets[0].df.schema["s"].dataType
     edge_kinds = {r.edge: r.df.schema["e"].dataType for r in edge_sets if r.edge}
-    if any(not isinstance(k, T.LongType) for k in edge_kinds.values()):
-        raise ValueError("edge numbers are longs here")
+    wide = any(not isinstance(k, T.LongType) for k in edge_kinds.values())  # as texts then, numbered within each cell
+    number = "string" if wide else "long"
     parts = None
     for i, r in enumerate(edge_sets):
         rows = r.df.filter("s IS NOT NULL AND o IS NOT NULL")
@@ -184,13 +184,13 @@ def multiway_join(edge_sets: Sequence[EdgeSet], *, cells: int | None = None) ->
         place = sum((F.pmod(F.xxhash64(F.col(c)), F.lit(share[v])) * F.lit(stride[v]) for c, v in (("s", r.src), ("o", r.dst))), F.lit(0))
         others = [F.array(*[F.lit(k * stride[v]) for k in range(share[v])]) for v in order if v not in (r.src, r.dst) and share[v] > 1]
         cell = place.cast("int")
-        rows = rows.select(F.lit(i).alias("r"), "s", "o", (F.col("e") if r.edge else F.lit(None).cast("long")).alias("e"), cell.alias("cell"))
+        rows = rows.select(F.lit(i).alias("r"), "s", "o", (F.col("e") if r.edge else F.lit(None)).cast(number).alias("e"), cell.alias("cell"))
         for other in others:
             rows = rows.withColumn("cell", F.explode(F.transform(other, lambda x: F.col("cell") + x)))
         parts = rows if parts is None else parts.unionByName(rows)
 
     edge_vars = [r.edge for r in edge_sets if r.edge]
-    struct = T.StructType([T.StructField(v, kind) for v in order] + [T.StructField(e, T.LongType()) for e in edge_vars])
+    struct = T.StructType([T.StructField(v, kind) for v in order] + [T.StructField(e, T.StringType() if wide else T.LongType()) for e in edge_vars])
     layout = [(r.src, r.dst, r.edge) for r in edge_sets]
 
     def run(table: pa.Table) -> pa.Table:
@@ -202,7 +202,9 @@ def multiway_join(edge_sets: Sequence[EdgeSet], *, cells: int | None = None) ->
         coded = both.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         size, half = max(1, len(coded.dictionary)), table.num_rows
-        numbers = table.column("e").combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
+        numbers = table.column("e").combine_chunks()
+        texts = numbers.dictionary_encode() if wide else None
+        numbers = (texts.indices if wide else numbers).fill_null(0).to_numpy(zero_copy_only=False)
         ends, edges = [], []
         for i, (src, dst, edge) in enumerate(layout):
             own = which == i
@@ -222,8 +224,9 @@ def multiway_join(edge_sets: Sequence[EdgeSet], *, cells: int | None = None) ->
                     length = np.searchsorted(pair, wanted, "right") - first
                     spot = _spans(first, length)
                     rows, attached = np.repeat(rows, length), [np.repeat(a, length) for a in attached] + [number[spot]]
-                columns = [coded.dictionary.take(pa.array(bound[v][rows])) for v in order] + [pa.array(a) for a in attached]
+                columns = [coded.dictionary.take(pa.array(bound[v][rows])) for v in order] + [texts.dictionary.take(pa.array(a)) if wide else pa.array(a) for a in attached]
                 out.append(pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
-    return parts.groupBy("cell").applyInArrow(run, struct)
+    joined = parts.groupBy("cell").applyInArrow(run, struct)
+    return joined.withColumns({e: F.col(f"`{e}`").cast(k) for e, k in edge_kinds.items()}) if wide else joined

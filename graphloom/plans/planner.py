@@ -477,8 +477,6 @@ class Plan:
                     df = df.join(held.df.select(self.column[v]), self.column[v], "left_semi")
             s, o = self.column[t.src.var], self.column[t.dst.var]
             e = self.column[t.edge.var] if t.edge.var else None
-            if e and df.schema[e].dataType.simpleString() != "bigint":
-                return relations
             sets.append(EdgeSet(df.select(F.col(s).alias("s"), F.col(o).alias("o"), *([F.col(e).alias("e")] if e else [])), s, o, e, r.rows))
             if e and (self.keys[t.edge.var] and self.prop_column(t.edge.var, self.keys[t.edge.var][0]) in r.df.columns):
                 spare.append(replace(r, df=r.df.drop(s, o, f"{s}_order", f"{o}_order"), variables=frozenset({t.edge.var})))
@@ -526,7 +524,8 @@ def match(graph: PropertyGraph, query: str | Query, *, mode: str = "interleaved"
     Columns: the RETURN items, or all variables in order of first appearance; a node is its id, an edge
     its number.  ``mode`` places the filters: among the joins, as semi-join reducers before them, or after
     them.  ``strategy='multiway'`` joins the edges of a cycle in one shuffle instead of pair by pair, for cycles
-    whose pairs are far more than their closings.  ``edge_semantics='distinct'`` keeps different edge variables on different edges.  ``limit`` takes
+    whose pairs are far more than their closings; patterns without a cycle of three edges, with an edge variable
+    used twice, or of two cycles apart are joined pair by pair.  ``edge_semantics='distinct'`` keeps different edge variables on different edges.  ``limit`` takes
     any so many rows.  Empty tables give no rows; a missing property fails every comparison, also ``!=``.
     """
     tree = parse(query) if isinstance(query, str) else query

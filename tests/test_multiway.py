@@ -1,11 +1,15 @@
 import random
+from decimal import Decimal
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from graphloom import graph_queries
 from graphloom.operators import multiway
 from graphloom.operators.multiway import EdgeSet, multiway_join, shares_of
+from graphloom.plans import planner
 
 
 def brute(relations):
@@ -45,6 +49,29 @@ def test_against_pairwise_loops(spark, shape, cells, monkeypatch):
     assert sorted(tuple(sorted(r.asDict().items())) for r in rows) == brute(relations)
 
 
+@pytest.mark.parametrize("cells", [1, 16])
+def test_wide_edge_numbers(spark, cells):
+    big = 10**36
+    relations = [(s, d, e, [(a, b, (big if e == "e" else 0) + n) for a, b, n in edges(i, 9, 40)]) for i, (s, d, e) in enumerate(SHAPES["same ends"])]
+    sets = [EdgeSet(spark.createDataFrame([(a, b, Decimal(n) if e == "e" else n) for a, b, n in rows], f"s long, o long, e {'decimal(38,0)' if e == 'e' else 'long'}"), s, d, e, len(rows)) for s, d, e, rows in relations]
+    got = multiway_join(sets, cells=cells)
+    assert dict(got.dtypes)["e"] == "decimal(38,0)" and dict(got.dtypes)["f"] == "bigint"
+    assert sorted(tuple(sorted({k: int(v) for k, v in r.asDict().items()}.items())) for r in got.collect()) == brute(relations)
+
+
+@pytest.mark.parametrize("name", ["cycle_square_multiway", "cycle_local_multiway"])
+def test_table_of_several_files_is_joined_in_one_shuffle(spark, sf, tmp_path, monkeypatch, name):
+    for file in Path(sf).iterdir():
+        if file.name == "lineitem.parquet":
+            spark.read.parquet(str(file)).repartition(3).write.parquet(str(tmp_path / file.name))
+        else:
+            (tmp_path / file.name).symlink_to(file)
+    calls = []
+    monkeypatch.setattr(planner, "multiway_join", lambda sets: calls.append(sets) or multiway_join(sets))
+    got = graph_queries.QUERIES[name](spark, str(tmp_path))
+    assert calls and sorted(map(tuple, got.collect())) == sorted(map(tuple, graph_queries.QUERIES[name](spark, sf).collect()))
+
+
 def test_empty_and_loose_relations(spark):
     empty = spark.createDataFrame([], "s long, o long, e long")
     one = spark.createDataFrame([(1, 2, 3)], "s long, o long, e long")
