@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import product
 from math import prod
 
 import numpy as np
@@ -40,20 +39,23 @@ class EdgeSet:
 
 
 def shares_of(edge_sets: Sequence[EdgeSet], variables: Sequence[str], cells: int) -> dict[str, int]:
-    """Buckets of each variable: at most ``cells`` in all, the fewest rows sent."""
+    """Buckets of each variable: at most ``cells`` in all, a small load of each cell and few rows sent.
+
+    Buckets are doubled one variable at a time, each time where the load falls most, so the search grows with
+    the number of variables and not with the number of their combinations.
+    """
     joined = [v for v in variables if sum(v in (r.src, r.dst) for r in edge_sets) > 1]
-    best, out = None, dict.fromkeys(variables, 1)
-    options = sorted({1, *(round(2**k) for k in range(int(np.log2(max(1, cells))) + 1))})
-    for picked in product(options, repeat=len(joined)):
-        if prod(picked) > cells:
-            continue
-        share = dict(zip(joined, picked))
-        sent = sum(r.rows * prod(p for v, p in share.items() if v not in (r.src, r.dst)) for r in edge_sets)
+    share = dict.fromkeys(variables, 1)
+
+    def cost(own: dict[str, int]) -> tuple[float, float]:
         # the load of a cell counts first, the rows sent decide between equal loads
-        load = sum(r.rows / prod(share.get(v, 1) for v in (r.src, r.dst)) for r in edge_sets)
-        if best is None or (load, sent) < best:
-            best, out = (load, sent), {**dict.fromkeys(variables, 1), **share}
-    return out
+        load = sum(r.rows / prod(own[v] for v in {r.src, r.dst}) for r in edge_sets)
+        return load, sum(r.rows * prod(n for v, n in own.items() if v not in (r.src, r.dst)) for r in edge_sets)
+
+    while 2 * prod(share.values()) <= cells and joined:
+        pick = min(joined, key=lambda v: (*cost({**share, v: 2 * share[v]}), share[v]))
+        share[pick] *= 2
+    return share
 
 
 class _Adjacency:
@@ -193,10 +195,11 @@ def multiway_join(edge_sets: Sequence[EdgeSet], *, cells: int | None = None) ->
     struct = T.StructType([T.StructField(v, kind) for v in order] + [T.StructField(e, T.StringType() if wide else T.LongType()) for e in edge_vars])
     layout = [(r.src, r.dst, r.edge) for r in edge_sets]
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(struct)
+        table = pa.Table.from_batches(batches)
         which = table.column("r").to_numpy()
         both = pa.chunked_array([*table.column("s").chunks, *table.column("o").chunks], table.schema.field("s").type).combine_chunks()
         coded = both.dictionary_encode()
@@ -214,19 +217,20 @@ def multiway_join(edge_sets: Sequence[EdgeSet], *, cells: int | None = None) ->
                 pair = s * size + o
                 by_pair = np.argsort(pair, kind="stable")
                 edges.append((src, dst, pair[by_pair], numbers[own][by_pair]))
-        out = []
-        if all(len(e[2]) for e in ends):
-            for bound in CellJoin(ends, size, order).bindings():
-                rows, attached = np.arange(len(bound[order[0]])), []
-                for src, dst, pair, number in edges:  # edges hang on bound pairs only, so their numbers multiply out last
-                    wanted = bound[src][rows] * size + bound[dst][rows]
-                    first = np.searchsorted(pair, wanted, "left")
-                    length = np.searchsorted(pair, wanted, "right") - first
-                    spot = _spans(first, length)
-                    rows, attached = np.repeat(rows, length), [np.repeat(a, length) for a in attached] + [number[spot]]
-                columns = [coded.dictionary.take(pa.array(bound[v][rows])) for v in order] + [texts.dictionary.take(pa.array(a)) if wide else pa.array(a) for a in attached]
-                out.append(pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+        if not all(len(e[2]) for e in ends):
+            return
+        for bound in CellJoin(ends, size, order).bindings():  # chunk by chunk, so no cell's output is gathered
+            rows, attached = np.arange(len(bound[order[0]])), []
+            for src, dst, pair, number in edges:  # edges hang on bound pairs only, so their numbers multiply out last
+                wanted = bound[src][rows] * size + bound[dst][rows]
+                first = np.searchsorted(pair, wanted, "left")
+                length = np.searchsorted(pair, wanted, "right") - first
+                spot = _spans(first, length)
+                rows, attached = np.repeat(rows, length), [np.repeat(a, length) for a in attached] + [number[spot]]
+            for at in range(0, len(rows), CHUNK):
+                part = slice(at, at + CHUNK)
+                columns = [coded.dictionary.take(pa.array(bound[v][rows[part]])) for v in order] + [texts.dictionary.take(pa.array(a[part])) if wide else pa.array(a[part]) for a in attached]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     joined = parts.groupBy("cell").applyInArrow(run, struct)
     return joined.withColumns({e: F.col(f"`{e}`").cast(k) for e, k in edge_kinds.items()}) if wide else joined

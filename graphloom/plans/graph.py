@@ -121,8 +121,43 @@ class EdgeSource:
         return self.known_rows or dict.fromkeys(self.types, estimated_rows(self.df) / max(1, len(self.types)))
 
 
+#: Of so many files the footers are looked at when rows are estimated.
+FOOTERS = 4
+
+
+def _footer_rows(df: DataFrame) -> float | None:
+    """Rows of a plain Parquet table by its size and the row counts in a few footers; None for anything else.
+
+    An estimate for the order of joins only; it needs no job and reads a bounded number of footers.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.nodeName().split(" ")[0] not in ("Relation", "LogicalRelation"):
+        return None
+    location = plan.relation().location()
+    total = float(location.sizeInBytes())
+    paths = sorted(location.inputFiles())
+    paths = paths[:: max(1, len(paths) // FOOTERS)][:FOOTERS]
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    rows = size = 0
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+        size += where.getFileSystem(conf).getFileStatus(where).getLen()
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(where, conf))
+        try:
+            rows += reader.getRecordCount()
+        finally:
+            reader.close()
+    return total * rows / size if size else 0.0
+
+
 def estimated_rows(df: DataFrame) -> float:
-    """Rows by the optimizer's size estimate; needs no job."""
+    """Rows by Parquet footers, else by the optimizer's size estimate; needs no job."""
+    try:
+        if (rows := _footer_rows(df)) is not None:
+            return max(1.0, rows)
+    except Exception:  # another reader or file system: the size will do
+        pass
     try:
         size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:
@@ -169,21 +204,11 @@ class PropertyGraph:
             prefix = F.when(number == t.node.number, t.node.prefix) if prefix is None else prefix.when(number == t.node.number, t.node.prefix)
         return F.concat(prefix, key)
 
-    def order_key(self, code: Column) -> Column | None:
-        """A LONG that sorts as the id texts do, None if only the texts themselves will do.
-
-        The digits filled up to 16 places, then their number, under the rank of the prefix; prefixes must
-        differ in their first letter.
-        """
-        prefixes = sorted(t.node.prefix for t in self.nodes) if self.coded else []
-        if not prefixes or len(prefixes) > 7 or len({p[0] for p in prefixes}) < len(prefixes) or any(p[0].isdigit() for p in prefixes):
-            return None
-        digits = code.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("string")
-        number = F.shiftright(code, SHIFT)
-        rank = F.lit(0)
-        for t in self.nodes:
-            rank = F.when(number == t.node.number, prefixes.index(t.node.prefix)).otherwise(rank)
-        return F.rpad(digits, 16, "0").cast("long") * F.lit(32) + F.length(digits) + F.shiftleft(rank.cast("long"), 60)
+    def order_text(self, code: Column, tables: Iterable[str]) -> Column:
+        """What a node identity sorts by: its id text, of which the prefix may go where only one table is in question."""
+        if self.coded and len(set(tables)) == 1:
+            return code.bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("string")
+        return self.show(code)
 
     def locate(self, text: str) -> Column:
         """The identity of a node id as a literal (not checked for existence)."""

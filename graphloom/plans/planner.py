@@ -67,7 +67,7 @@ class Plan:
         for r in query.returns or ():
             self._wants(r.operand)
         self.ranked = {v for c in comparisons(query.where) if isinstance(c, Compare) for v in self._ranked(c)}
-        self.ordered = {v for c in comparisons(query.where) if isinstance(c, Compare) for v in self._ordered(c)} if graph.order_key(F.lit(0)) is not None else set()
+        self.numbered = self._numbered()
         self.sources = [self._sources_of(t) for t in query.triples]
         self.tables = self._prune()
 
@@ -81,11 +81,14 @@ class Plan:
         """Node variables that are compared with a number, that is with their rank."""
         return [x.name for x, y in ((c.left, c.right), (c.right, c.left)) if isinstance(x, Var) and x.name in self.nodes and isinstance(y, Literal) and y.kind == "long"]
 
-    def _ordered(self, c: Compare) -> list[str]:
-        """Node variables whose order is asked for."""
-        if c.op in ("=", "!=") or not all(isinstance(x, Var) and x.name in self.nodes for x in (c.left, c.right)):
-            return []
-        return [c.left.name, c.right.name]
+    def _numbered(self) -> set[str]:
+        """Edge variables whose numbers are asked for; other edges are just rows, which spares their numbering."""
+        edges = [t.edge.var for t in self.query.triples if t.edge.var]
+        if self.strategy == "multiway" or self.distinct or self.query.returns is None:
+            return set(edges)
+        shown = {r.operand.name for r in self.query.returns if isinstance(r.operand, Var)}
+        compared = {x.name for c in comparisons(self.query.where) if isinstance(c, Compare) for x in (c.left, c.right) if isinstance(x, Var)}
+        return {e for e in edges if e in shown | compared or edges.count(e) > 1}
 
     def _labels(self) -> dict[str, object]:
         """All label expressions of a variable hold together."""
@@ -158,10 +161,9 @@ class Plan:
         numbers = {"long", "double"}
         if "node" in (kind_l, kind_r):
             if kind_l == kind_r:
-                if ordered := [v for v in self._ordered(c) if v in self.ordered]:
-                    left, right = (F.col(f"{self.column[v]}_order") for v in ordered)
-                elif c.op not in ("=", "!="):
-                    left, right = self.graph.show(left), self.graph.show(right)
+                if c.op not in ("=", "!="):
+                    tables = [t for x in (c.left, c.right) for t in (self.tables[x.name] if isinstance(x, Var) else self.graph.table)]
+                    left, right = self.graph.order_text(left, tables), self.graph.order_text(right, tables)
             else:
                 node, other = (c.left, c.right) if kind_l == "node" else (c.right, c.left)
                 if other.kind == "long":
@@ -217,7 +219,6 @@ class Plan:
                     found.add(self.column[x.name])
             if isinstance(one, Compare):
                 found |= {f"{self.column[v]}_rank" for v in self._ranked(one)}
-                found |= {f"{self.column[v]}_order" for v in self._ordered(one) if v in self.ordered}
         return frozenset(found)
 
     def _share(self, c) -> float:
@@ -261,7 +262,8 @@ class Plan:
                 elif end.labels is not None:
                     columns.append(identity.code().alias(f"anonymous_{name}"))
             if e:
-                columns.append(source.edge(source.df).alias(self.column[e]))
+                if e in self.numbered:
+                    columns.append(source.edge(source.df).alias(self.column[e]))
                 if props:
                     columns += [self._prop(source.props, k, self.graph.edge_props[k]).alias(self.prop_column(e, k)) for k in self.keys[e]]
             df = df.select(*columns) if columns else df.select(F.lit(1).alias("there"))
@@ -269,7 +271,7 @@ class Plan:
             rows += size
         variables = frozenset(v for v in (t.src.var, e, t.dst.var) if v)
         if not parts:
-            struct = ", ".join(f"{self.column[v]} {self._type(v)}" for v in (t.src.var, t.dst.var, e) if v)
+            struct = ", ".join(f"{self.column[v]} {self._type(v)}" for v in (t.src.var, t.dst.var, e if e in self.numbered else None) if v)
             if e and props:
                 kinds = {"long": "long", "double": "double", "datetime": "timestamp_ntz", "ordinal": "long", "string": "string"}
                 struct += "".join(f", {self.prop_column(e, k)} {kinds[self.graph.edge_props[k]]}" for k in self.keys[e])
@@ -394,10 +396,6 @@ class Plan:
         for t in self.query.triples:
             relations.append(self._edge_relation(t, props=t.edge.var is not None and t.edge.var not in with_props))
             with_props.add(t.edge.var)
-        for i, r in enumerate(relations):  # order keys are made where rows are read, so every branch of the join tree can compare
-            for v in sorted(r.variables & self.ordered):
-                df = self._rows_of(relations[i])
-                relations[i] = replace(relations[i], df=df.withColumn(f"{self.column[v]}_order", self.graph.order_key(F.col(self.column[v]))), exists=False)
         edge_count = len(relations)
         for v in self.query.node_variables():
             if self._node_join_needed(v):
@@ -431,7 +429,6 @@ class Plan:
                 only = relations[two] if isinstance(two, int) and relations[two].exists and relations[two].variables else None
                 right, bound_r, done_r = (only.df, only.variables, frozenset()) if only is not None and only.variables <= bound_l else build(two)
                 shared = [self.column[v] for v in sorted(bound_l & bound_r)]
-                right = right.drop(*[f"{c}_order" for c in shared])
                 if not shared:
                     out = left.crossJoin(right)
                 elif only is not None and only.variables <= bound_l:
@@ -479,14 +476,12 @@ class Plan:
             e = self.column[t.edge.var] if t.edge.var else None
             sets.append(EdgeSet(df.select(F.col(s).alias("s"), F.col(o).alias("o"), *([F.col(e).alias("e")] if e else [])), s, o, e, r.rows))
             if e and (self.keys[t.edge.var] and self.prop_column(t.edge.var, self.keys[t.edge.var][0]) in r.df.columns):
-                spare.append(replace(r, df=r.df.drop(s, o, f"{s}_order", f"{o}_order"), variables=frozenset({t.edge.var})))
+                spare.append(replace(r, df=r.df.drop(s, o), variables=frozenset({t.edge.var})))
         try:
             df = multiway_join(sets)
         except ValueError:  # two cycles without a common variable
             return relations
         variables = frozenset(v for i in picked for v in relations[i].variables)
-        for v in sorted(variables & self.ordered):
-            df = df.withColumn(f"{self.column[v]}_order", self.graph.order_key(F.col(self.column[v])))
         core = _Relation(df, variables, min(r.rows for r in (relations[i] for i in picked)), single=True)
         nodes = [r for r in relations[edge_count:] if not (r.exists and r.variables <= variables)]
         return [core, *spare, *(r for i, r in enumerate(relations[:edge_count]) if i not in picked), *nodes]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.plans.graph import EdgeSource, Identity, NodeTable, PropertyGraph
+from graphloom.sources.rownumbers import row_number
 
 # The domains of the two columns that serve as labels.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -23,18 +24,6 @@ PREFIX = {"Region": "R", "Nation": "N", "Customer": "C", "Supplier": "S", "Part"
 NUMBER = {name: i for i, name in enumerate(PREFIX)}
 
 
-def _row_number(df: DataFrame, source: int) -> Column:
-    """A number for each row that is the same in every scan: the place within its file.
-
-    With several files the hash of the file's name goes before it, in a decimal.
-    """
-    row = F.col("_metadata.row_index")
-    if len(df.inputFiles()) <= 1:
-        return row + F.lit(source << 48)
-    file = F.xxhash64("_metadata.file_path", F.lit(source)).cast("decimal(20,0)")
-    return (file * F.lit(1 << 40).cast("decimal(14,0)")).cast("decimal(37,0)") + row
-
-
 #: The columns of the tables that serve as properties, with their kinds.
 _PROPS = {
     "region": {"name": ("r_name", "string")},
@@ -91,7 +80,7 @@ def graph_from_tables(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         nodes.append(NodeTable(kind, partial(read, table), identity(kind, key), frozenset({kind, *labels}), props(table) | extra, frozenset(domain), test))
     edges = [
         EdgeSource(
-            f"{table}:{kind}", partial(read, table), partial(_row_number, source=i), identity(*src), identity(*dst), frozenset({kind}),
+            f"{table}:{kind}", partial(read, table), partial(row_number, source=i), identity(*src), identity(*dst), frozenset({kind}),
             frozenset({src[0]}), frozenset({dst[0]}), None, props(table) if table == "lineitem" else {}, None,
             table != "lineitem",  # in the other tables one end is the key
         )

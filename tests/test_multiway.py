@@ -66,6 +66,10 @@ def test_table_of_several_files_is_joined_in_one_shuffle(spark, sf, tmp_path, mo
             spark.read.parquet(str(file)).repartition(3).write.parquet(str(tmp_path / file.name))
         else:
             (tmp_path / file.name).symlink_to(file)
+    one, three = (graph_queries.graph_from_tables(spark, str(d)) for d in (sf, tmp_path))
+    named = [planner.match(g, "(?o)-[?e:CONTAINS]->(?p)") for g in (one, three)]
+    assert named[0].dtypes == named[1].dtypes and dict(named[1].dtypes)["e"] == "bigint"
+    assert named[1].select("e").distinct().count() == named[1].count() == named[0].count()
     calls = []
     monkeypatch.setattr(planner, "multiway_join", lambda sets: calls.append(sets) or multiway_join(sets))
     got = graph_queries.QUERIES[name](spark, str(tmp_path))
@@ -89,3 +93,20 @@ def test_shares():
     sets = [EdgeSet(Rows(), a, b, None, 1e6) for a, b in (("x", "y"), ("y", "z"), ("z", "x"))]
     assert shares_of(sets, ["x", "y", "z"], 64) == {"x": 4, "y": 4, "z": 4}
     assert np.prod(list(shares_of(sets, ["x", "y", "z"], 10).values())) <= 10
+
+
+def test_many_variables_share_cells_quickly():
+    ring = [EdgeSet(None, f"v{i}", f"v{(i + 1) % 12}", None, 1e9) for i in range(12)]
+    assert np.prod(list(shares_of(ring, [f"v{i}" for i in range(12)], 1 << 12).values())) == 1 << 12
+
+
+def test_files_get_numbers_of_their_own():
+    from graphloom.sources.rownumbers import _HALF, _hash, file_shifts
+
+    for n in (2, 3, 7, 1000, 20_000):
+        paths = [f"file:///data/t/part-{i:05d}.parquet" for i in range(n)]
+        shifts, size = file_shifts(paths)
+        hashes = [_hash(p) for p in paths]
+        assert len({((h & _HALF) + shifts[h % len(shifts)] * (h >> 31 & _HALF | 1)) % size for h in hashes}) == n and size < 4 * n
+    with pytest.raises(ValueError):
+        file_shifts(["a", "a"])
