@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import digest, heavy, instants, orphans, pairs, rejects, wide
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, shared_folder
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 #: Run times are plausible from 0 up to a day in milliseconds.
@@ -33,11 +35,14 @@ def p1_percentiles_by_day_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_percentiles_by_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Per status, out of the digests per day and status: the rows are not read again for the estimates."""
+    """Per status, out of a stored table of digests per day and status: the rows are not read again for the estimates."""
     runs = _table(spark, sf, "milldb_runs")
     daily = digest.merge_digests(digest.build_digests(runs, ["run_day", "status"], "time_ms", lo=TIME_RANGE[0], hi=TIME_RANGE[1]), ["run_day", "status"])
-    daily = daily.withColumn("__node", F.pmod(F.datediff("run_day", F.lit("1970-01-01").cast("date")), F.lit(1 << 20)).cast("int")).withColumn("__node", F.coalesce("__node", F.lit(0)))
-    return digest.percentiles(runs, ["status"], "time_ms", QUANTILES, digests=daily, lo=TIME_RANGE[0], hi=TIME_RANGE[1])
+    stored = f"{shared_folder(spark)}/graphloom-daily-digests-{uuid4().hex}"
+    daily.write.parquet(stored)
+    days = 1 << 16  # the number of a day; a digest of no day goes with the first
+    daily = spark.read.parquet(stored).withColumn("__node", F.coalesce(F.pmod(F.unix_date("run_day"), F.lit(days)), F.lit(0)).cast("int"))
+    return digest.percentiles(runs, ["status"], "time_ms", QUANTILES, digests=daily, nodes=days, lo=TIME_RANGE[0], hi=TIME_RANGE[1])
 
 
 def p1_certified_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,6 +60,18 @@ def p2_wide(spark: SparkSession, sf: str) -> DataFrame:
     return wide.widen(_table(spark, sf, "node_props"), declared, zones, feed="feed")
 
 
+def p2_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The number and string cells of the wide table, read off it again as (variable, key, value by type)."""
+    declared = small_map(_table(spark, sf, "prop_keys"), "key", "declared_type")
+    kinds = {k: t for k, t in declared.items() if t != "datetime"}
+    table = wide.widen(_table(spark, sf, "node_props"), kinds)
+    columns = dict(zip(sorted(kinds), table.columns[1:-1]))
+    cell = lambda k, t: F.col(f"`{columns[k]}`") if kinds[k] == t else F.lit(None).cast(t)
+    cells = F.array(*[F.struct(F.lit(k).alias("key"), *[cell(k, t).alias(f"{t}_value") for t in ("long", "double", "string")]) for k in columns])
+    found = table.select("variable", F.explode(cells).alias("c")).select("variable", "c.*")
+    return found.filter("long_value IS NOT NULL OR double_value IS NOT NULL OR string_value IS NOT NULL")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Cells declared long or double whose deciding value does not fit, read off the wide table."""
     declared = small_map(_table(spark, sf, "prop_keys"), "key", "declared_type")
@@ -125,6 +142,18 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, sf), ["table_name", "field", "period"])
 
 
+def p5_composite(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges whose pair of ends no KNOWS edge of a second loading joins, for each match semantics of partly null pairs.
+
+    Targets are the KNOWS edges that were loaded after their own day.
+    """
+    edges = _table(spark, sf, "edges_tsv")
+    late = edges.filter((F.col("type") == "KNOWS") & (F.to_date("loaded_at") > F.col("day"))).select("from_id", "to_id")
+    refs = edges.select("edge_id", "from_id", "to_id")
+    parts = [orphans.find_orphans(refs, late, ["from_id", "to_id"], match=m).select(F.lit(m).alias("semantics"), "edge_id") for m in ("simple", "full", "partial")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # 6. instants
 
 
@@ -170,15 +199,32 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.differing_pairs(cut_lineage(times), ["variable", "key", "instant"], "value", "prop_id")  # texts are read once
 
 
+def _told(spark: SparkSession, sf: str) -> DataFrame:
+    return _estimated(spark, sf, small_map(_table(spark, sf, "feeds"), "feed", "zone"))
+
+
 def p6_zone_estimates(spark: SparkSession, sf: str) -> DataFrame:
-    """The zone of every feed as the data tell it, without its declared zone."""
-    return _estimated(spark, sf, small_map(_table(spark, sf, "feeds"), "feed", "zone")).filter("zone IS NOT NULL").select(F.col("source").alias("feed"), "zone")
+    """The zone of every feed as the data tell it, without its declared zone; null with the reason where they do not."""
+    return _told(spark, sf).withColumnRenamed("source", "feed")
+
+
+def p6_zone_contradictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Feeds whose zone the data tell otherwise than it is declared."""
+    told = _told(spark, sf).filter("zone IS NOT NULL").select(F.col("source").alias("feed"), F.col("zone").alias("told_zone"))
+    return told.join(_table(spark, sf, "feeds"), "feed").filter("zone <> told_zone").select("feed", "zone", "told_zone")
+
+
+def p6_instants_estimated(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``p6_instants``, with every declared zone withheld: local times take the zone that the data tell, or none."""
+    zones = small_map(_told(spark, sf).filter("zone IS NOT NULL"), "source", "zone")
+    return _times(spark, sf, zones).select("prop_id", "variable", "key", "value", "feed", F.col("instant").alias("instant_us"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_percentiles_by_day_status, p1_percentiles_by_status, p1_certified_counts, p2_found, p2_wide, p3_found, p3_per_key,
+        p1_percentiles_by_day_status, p1_percentiles_by_status, p1_certified_counts, p2_found, p2_wide, p2_cells, p3_found, p3_per_key,
         p4_found, p4_lsqb_rows, p4_neo4j_rows, p4_rejects, p5_found, p5_report, p6_found, p6_instants, p6_zone_estimates,
+        p6_zone_contradictions, p6_instants_estimated, p5_composite,
     )
 }

@@ -18,7 +18,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -196,26 +196,40 @@ def _build(keys: Sequence[str], delta: int, lo: float | None, hi: float | None,
 
 
 def _merge(keys: Sequence[str], delta: int, schema_of):
+    """Merge states that come ordered by node and key: a task holds the states of one batch and one unfinished group."""
+
+    def merged(part: pa.RecordBatch, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        nodes = part.column(part.schema.get_field_index("__node")).to_numpy()
+        for node in np.unique(nodes).tolist():
+            own = part.filter(pa.array(nodes == node))
+            state = _Digests(keys, delta)
+            group = state.groups.number(own)
+            state.grow()
+            for name, have in state.counts.items():
+                np.add.at(have, group, own.column(own.schema.get_field_index(name)).to_numpy())
+            lo, hi, mean, weight = _columns(own, ["__lo", "__hi", "__mean", "__weight"])
+            np.minimum.at(state.lo, group, np.nan_to_num(lo.to_numpy(zero_copy_only=False).astype(float), nan=np.inf, posinf=np.inf))
+            np.maximum.at(state.hi, group, np.nan_to_num(hi.to_numpy(zero_copy_only=False).astype(float), nan=-np.inf, neginf=-np.inf))
+            size = mean.value_lengths().to_numpy()
+            state.add(np.repeat(group, size), mean.flatten().to_numpy(), weight.flatten().to_numpy())
+            yield state.emit(node, schema)
+
     def run(batches):
-        schema = schema_of()
-        state, by_node = None, {}
+        schema, rest = schema_of(), None
         for batch in batches:
-            nodes = batch.column(batch.schema.get_field_index("__node")).to_numpy()
-            for node in np.unique(nodes).tolist():
-                part = batch.filter(pa.array(nodes == node))
-                state = by_node.setdefault(node, _Digests(keys, delta))
-                group = state.groups.number(part)
-                state.grow()
-                for name, have in state.counts.items():
-                    np.add.at(have, group, part.column(part.schema.get_field_index(name)).to_numpy())
-                lo, hi, mean, weight = _columns(part, ["__lo", "__hi", "__mean", "__weight"])
-                np.minimum.at(state.lo, group, np.nan_to_num(lo.to_numpy(zero_copy_only=False).astype(float), nan=np.inf, posinf=np.inf))
-                np.maximum.at(state.hi, group, np.nan_to_num(hi.to_numpy(zero_copy_only=False).astype(float), nan=-np.inf, neginf=-np.inf))
-                size = mean.value_lengths().to_numpy()
-                state.add(np.repeat(group, size), mean.flatten().to_numpy(), weight.flatten().to_numpy())
-        for node, state in by_node.items():
-            if len(state.groups):
-                yield state.emit(node, schema)
+            if not batch.num_rows:
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            last = {n: batch.column(batch.schema.get_field_index(n))[batch.num_rows - 1].as_py() for n in ("__node", *keys)}
+            start = batch.num_rows - 1
+            while start and all(batch.column(batch.schema.get_field_index(n))[start - 1].as_py() == v for n, v in last.items()):
+                start -= 1
+            if start:
+                yield from merged(batch.slice(0, start), schema)
+            rest = batch.slice(start)
+        if rest is not None:
+            yield from merged(rest, schema)
 
     return run
 
@@ -233,17 +247,23 @@ def build_digests(df: DataFrame, keys: Sequence[str], value: str, *, delta: int
     return rows.mapInArrow(_build(keys, delta, lo, hi, _arrow_schema(struct)), struct)
 
 
-def merge_digests(digests: DataFrame, keys: Sequence[str], *, delta: int = DELTA, fan_in: int = FAN_IN) -> DataFrame:
+def merge_digests(digests: DataFrame, keys: Sequence[str], *, delta: int = DELTA, fan_in: int = FAN_IN, nodes: int | None = None) -> DataFrame:
     """Merge states to one per group in fan-in rounds.
 
-    The first round puts the states of ``fan_in`` neighbouring tasks together, the second what is
-    left, so no reducer receives the states of all tasks of a hot group at once.
+    A round puts the states of ``fan_in`` neighbouring nodes together, and there are as many rounds as ``nodes``
+    needs (by default the number of tasks that made the states), so no reducer receives more than ``fan_in``
+    states of a group.
     """
     struct = _state_schema(digests, keys)
     run = _merge(keys, delta, _arrow_schema(struct))
-    for parent in (F.floor(F.col("__node") / fan_in).cast("int"), F.lit(0)):
-        digests = digests.withColumn("__node", parent).repartition(*[F.col(f"`{k}`") for k in keys], "__node").mapInArrow(run, struct)
-    return digests
+    nodes = nodes or max(1, digests._jdf.queryExecution().toRdd().getNumPartitions())
+    while True:
+        nodes = -(-nodes // fan_in)
+        place = [*[F.col(f"`{k}`") for k in keys], F.col("__node")]
+        moved = digests.withColumn("__node", F.floor(F.col("__node") / fan_in).cast("int") if nodes > 1 else F.lit(0)).repartition(*place)
+        digests = moved.sortWithinPartitions(*reversed(place)).mapInArrow(run, struct)
+        if nodes == 1:
+            return digests
 
 
 def _read_off(means: np.ndarray, weights: np.ndarray, lo: float, hi: float, quantiles: Sequence[float]) -> list[float | None]:
@@ -321,15 +341,15 @@ def certify(df: DataFrame, estimated: DataFrame, keys: Sequence[str], value: str
     return flat.select(*[c.alias(name) for c, name in zip(columns, taken)])
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99), *, delta: int = DELTA, epsilon: float = 0.005, lo: float | None = None, hi: float | None = None, digests: DataFrame | None = None) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99), *, delta: int = DELTA, epsilon: float = 0.005, lo: float | None = None, hi: float | None = None, digests: DataFrame | None = None, nodes: int | None = None) -> DataFrame:
     """Certified percentiles of ``value`` per group of ``keys``.
 
-    ``digests`` takes states built before (of days or files, say) in place of a first pass over the
-    rows.  Values outside ``lo``..``hi`` are implausible and only counted.  Empty tables give no rows.
+    ``digests`` takes states built before (of days or files, say; ``nodes`` is the number of their node numbers)
+    in place of a first pass over the rows.  Values outside ``lo``..``hi`` are implausible and only counted.  Empty tables give no rows.
     """
     if not quantiles or any(not 0 <= q <= 1 for q in quantiles):
         raise ValueError("quantiles lie between 0 and 1")
     keys = list(keys)
     states = digests if digests is not None else build_digests(df, keys, value, delta=delta, lo=lo, hi=hi)
-    found = cut_lineage(estimates(merge_digests(states, keys, delta=delta), keys, quantiles))
+    found = cut_lineage(estimates(merge_digests(states, keys, delta=delta, nodes=nodes), keys, quantiles))
     return certify(df, found, keys, value, quantiles, epsilon=epsilon, lo=lo, hi=hi)

@@ -12,7 +12,8 @@ then it answers a reference only if alive at the reference's own time.  Target l
 per key to disjoint intervals first, so repeated declarations do not multiply the work.
 
 Skew: the keys with most references are found by a pre-aggregated count (a bounded top list), their
-references are split over ``salts`` and only the few targets of those keys are repeated.
+references are split over ``salts`` (as many as shuffle partitions, so over all tasks) and only the few targets of
+those keys are repeated.  Lifetimes of a key are merged in ``PARTS`` parts first, then the parts.
 
 Defined results: null reference times answer to no lifetime and are orphans; targets with null key
 columns answer no complete reference; empty target tables leave every reference an orphan; empty
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_KEYS = 64
-SALTS = 16
+LEAST_SALTS = 16
+PARTS = 32
 
 
 def merged_lifetimes(targets: DataFrame, keys: Sequence[str], born: str, died: str) -> DataFrame:
@@ -37,12 +39,15 @@ def merged_lifetimes(targets: DataFrame, keys: Sequence[str], born: str, died: s
     """
     rows = targets.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{born}`").alias("__born"), F.col(f"`{died}`").alias("__died"))
     rows = rows.filter(F.col("__born").isNotNull() & (F.col("__died").isNull() | (F.col("__died") > F.col("__born"))))
-    rows = rows.groupBy(*keys, "__born").agg(F.max(F.col("__died").isNull()).alias("__open"), F.max("__died").alias("__died"))
-    before = Window.partitionBy(*keys).orderBy("__born").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__new", F.coalesce(~F.max("__open").over(before) & (F.max("__died").over(before) < F.col("__born")), ~F.coalesce(F.max("__open").over(before), F.lit(False)))).withColumn("__new", F.col("__new").cast("int"))
-    rows = rows.withColumn("__run", F.sum("__new").over(Window.partitionBy(*keys).orderBy("__born")))
-    out = rows.groupBy(*keys, "__run").agg(F.min("__born").alias("__born"), F.when(~F.max("__open"), F.max("__died")).alias("__died"))
-    return out.drop("__run")
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("__born"), F.lit(PARTS)))
+    rows = rows.groupBy(*keys, "__part", "__born").agg(F.max(F.col("__died").isNull()).alias("__open"), F.max("__died").alias("__died"))
+    for by in ([*keys, "__part"], list(keys)):
+        order = Window.partitionBy(*by).orderBy("__born")
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("__new", F.coalesce(~F.max("__open").over(before) & (F.max("__died").over(before) < F.col("__born")), ~F.coalesce(F.max("__open").over(before), F.lit(False))).cast("int"))
+        rows = rows.withColumn("__run", F.sum("__new").over(order))
+        rows = rows.groupBy(*by, "__run").agg(F.min("__born").alias("__born"), F.max("__open").alias("__open"), F.max("__died").alias("__died")).drop("__run")
+    return rows.select(*keys, "__born", F.when(~F.col("__open"), F.col("__died")).alias("__died"))
 
 
 def _hot(refs: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
@@ -68,12 +73,13 @@ def _missing(refs: DataFrame, targets: DataFrame, columns: list[str], at: str |
     return salted.join(wide, on, "left_anti").drop("__salt")
 
 
-def find_orphans(refs: DataFrame, targets: DataFrame, keys: Sequence[str], *, match: str = "simple", at: str | None = None, born: str | None = None, died: str | None = None, hot_keys: int = HOT_KEYS, salts: int = SALTS) -> DataFrame:
+def find_orphans(refs: DataFrame, targets: DataFrame, keys: Sequence[str], *, match: str = "simple", at: str | None = None, born: str | None = None, died: str | None = None, hot_keys: int = HOT_KEYS, salts: int | None = None) -> DataFrame:
     """The rows of ``refs`` whose ``keys`` no row of ``targets`` answers (key columns of equal names)."""
     if match not in ("simple", "full", "partial"):
         raise ValueError("match is simple, full or partial")
     if at and not (born and died):
         raise ValueError("a reference time needs the targets' born and died columns")
+    salts = salts or max(LEAST_SALTS, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = refs.columns
     place = {name: f"c{i}" for i, name in enumerate(names)}  # work under names that clash with nothing
     refs = refs.toDF(*place.values())

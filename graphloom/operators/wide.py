@@ -18,7 +18,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ LONG = r"\A[+-]?[0-9]+\z"
 DOUBLE = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 TYPES = ("long", "double", "datetime", "string")
 MAX_COLUMNS = 20_000
+#: So many cells of the numpy arrays are held at once.
+GRID_CELLS = 1 << 22
 
 
 def trimmed(name: str) -> Column:
@@ -63,7 +65,7 @@ def _scatter(entity_type: pa.DataType, slots: list[tuple[str, int]], schema_of):
     def table(part: pa.Table, names: list[str], schema: pa.Schema) -> pa.RecordBatch:
         coded = part.column("__e").combine_chunks().dictionary_encode()
         row = coded.indices.to_numpy().astype(np.int64)
-        col = part.column("__c").to_numpy()
+        col = part.column("__c").combine_chunks().to_numpy()
         n = len(coded.dictionary)
         known = col >= 0
         grids: dict[str, tuple] = {}
@@ -100,6 +102,15 @@ def _scatter(entity_type: pa.DataType, slots: list[tuple[str, int]], schema_of):
         columns.append(unfit)
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
+    most = max(1, GRID_CELLS // max(1, *counts.values()))
+
+    def tables(part: pa.Table, names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """``part`` in runs of at most ``most`` entities, so many columns do not make the arrays large."""
+        entity = part.column("__e").combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.r_[True, entity[1:] != entity[:-1]])[::most]
+        for a, b in zip(starts, [*starts[1:], part.num_rows]):
+            yield table(part.slice(a, b - a), names, schema)
+
     def run(names: list[str]):
         def each(batches):
             schema, rest = schema_of(), None
@@ -113,10 +124,10 @@ def _scatter(entity_type: pa.DataType, slots: list[tuple[str, int]], schema_of):
                 last = entity[len(entity) - 1]
                 start = pa.compute.index(entity, last).as_py()
                 if start:
-                    yield table(part.slice(0, start), names, schema)
+                    yield from tables(part.slice(0, start), names, schema)
                 rest = part.slice(start)
             if rest is not None:
-                yield table(rest, names, schema)
+                yield from tables(rest, names, schema)
 
         return each
 

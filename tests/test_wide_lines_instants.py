@@ -145,6 +145,38 @@ def test_single_lines(spark, line, reason):
         assert strict_lsqb(line) == (reason is None)
 
 
+def test_casts_are_told_by_the_reject_table_and_long_counts_stay_valid():
+    reader = rejects.LineReader(rejects.LSQB_RESULTS)
+    lines = [f"S,v,x,2,0.5,10,3,{P}", f"S,v,1,2,0.5,{'9' * 30},3,{P}", f"S,v,1,2,0.5,1e3,3,{P}", f'S,v,1,"2",0.5,10,,{P}', f"S,v,1,2,nan,{'9' * 30},3,{P}", f"S,v,1,2,1e999,10,3,{P}", f'S,v,"0{7}",2,0.5,10,3,"(?a)"']
+    rows, wrong = reader.read(lines)
+    got = {r["__i"]: r for r in rows.to_pylist()}
+    assert wrong == {0: "c3: not integer above 0", 2: "c6: not integer without sign", 3: "c7: not integer without sign", 4: "c5: not decimal number"}
+    assert (got[1]["c3"], got[1]["c6"], got[1]["c7"], got[1]["reason"]) == (1, None, 3, None)
+    assert got[5]["reason"] is None and got[6]["reason"] == "c8: not pattern"
+
+
+def test_many_columns_in_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(wide, "GRID_CELLS", 6)
+    rows = [(f"e{i % 23}", f"k{i % 5}", str(i), i) for i in range(200)]
+    out = wide.widen(spark.createDataFrame(rows, "variable string, key string, value string, prop_id long"), {f"k{i}": "long" for i in range(5)}).collect()
+    want = {(f"e{i % 23}", f"k{i % 5}"): i for i in range(200)}
+    assert len(out) == 23 and {(r["variable"], k): r[k] for r in out for k in (f"k{i}" for i in range(5)) if r[k] is not None} == want
+
+
+def test_jvm_reads_as_python_does(spark):
+    r = random.Random(3)
+    texts = []
+    for _ in range(400):
+        y, m, d = r.choice([0, 1, 44, 1899, 1969, 2000, 2024, 9999]), r.randint(0, 13), r.randint(0, 32)
+        tail = r.choice(["Z", "+05:30", "-0330", "+14", "+19:00", "-18:59", "+05:60", ""])
+        texts.append(f"{r.choice(['', '+', '-'])}{y:04d}-{m:02d}-{d:02d}{r.choice('T ')}{r.randint(0, 24):02d}:{r.randint(0, 60):02d}:{r.randint(0, 60):02d}{r.choice(['', '.5', '.123456789'])}{tail}")
+    texts += [f"ZONED_DATETIME('{t}')" for t in texts[:60]] + ["0", "-5", "+1431006210000", "9" * 13, "1" * 14, "", "x", None, "2020-02-30T00:00:00Z", "２０２０-01-01T00:00:00Z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = {x["i"]: (x["r"]["instant"], x["r"]["local"], x["r"]["explicit"]) for x in df.select("i", instants.read_times(F.col("t"), F.lit("Europe/Berlin"), ZONES).alias("r")).collect()}
+    abbr = instants.abbreviations(ZONES)
+    assert [(texts[i], got[i]) for i in range(len(texts))] == [(t, instants.parse_instant(t, "Europe/Berlin", abbr)) for t in texts]
+
+
 def test_any_character_survives(spark):
     odd = "x\ue000y\ue001z\nw\r\ue002"
     df = spark.createDataFrame([(1, f'S,"{odd}",7,2,1,10,3,{P}')], "line_id long, line string")
@@ -211,6 +243,8 @@ def test_zones_are_found_by_alignment(spark):
     ingest = df.withColumn("anchor", F.col("anchor") + 1)
     got = {x["source"]: x["n_violations"] for x in instants.estimate_zones(ingest, "source", "local", "anchor", zones, relation="before").collect()}
     assert got == {"x": 0, "y": 0, "z": 0}
+    few = instants.estimate_zones(df.filter("source = 'x'").limit(3), "source", "local", "anchor", zones).collect()
+    assert [(x["zone"], x["reason"]) for x in few] == [(None, "lead too small")]
     unsure = instants.estimate_zones(df.limit(0).union(spark.createDataFrame([("w", 0, 1)], df.schema)), "source", "local", "anchor", zones).collect()
     assert [(x["source"], x["zone"]) for x in unsure] == [("w", None)]
     assert instants.estimate_zones(df.limit(0), "source", "local", "anchor", zones).count() == 0
