@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROW_BITS, FILE_BITS = 36, 24
+#: A mask of 31 bits, which is a prime as well.
 _HALF = (1 << 31) - 1
 #: The seed of Spark's own hash function (a fixed value).
 _SPARK_SEED = 42
@@ -44,7 +45,7 @@ def file_shifts(paths: Sequence[str]) -> tuple[list[int], int]:
     for g in sorted(range(len(groups)), key=lambda i: -len(groups[i])):
         shift = 0
         while True:
-            spots = {((h & _HALF) + shift * (h >> 31 & _HALF | 1)) % size for h in groups[g]}
+            spots = {((h & _HALF) + shift * (h >> 31 & _HALF | 1)) % _HALF % size for h in groups[g]}
             if len(spots) == len(groups[g]) and not any(taken[s] for s in spots):
                 break
             shift += 1
@@ -64,5 +65,5 @@ def row_number(df: DataFrame, source: int) -> Column:
     h = F.xxhash64(F.replace(F.col("_metadata.file_path"), F.lit("file:///"), F.lit("file:/")))
     shift = F.get(F.lit(shifts), F.pmod(h, F.lit(len(shifts))).cast("int"))
     step = F.shiftright(h, 31).bitwiseAND(F.lit(_HALF)).bitwiseOR(F.lit(1))
-    file = F.pmod(h.bitwiseAND(F.lit(_HALF)) + shift * step, F.lit(size))
+    file = F.pmod(F.pmod(h.bitwiseAND(F.lit(_HALF)) + shift * step, F.lit(_HALF)), F.lit(size))
     return row + F.shiftleft(file, ROW_BITS)
