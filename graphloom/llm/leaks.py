@@ -1,15 +1,17 @@
 """Evaluation texts, or passages of them, inside training text.
 
 A prefix-filtered set join.  Texts are brought to the form of :mod:`graphloom.llm.looks`, lowered and cut
-into words; a passage of ``words`` words is a window of consecutive ``shingle``-word shingles.  The corpus
-is read once: tasks mark the shingles that occur in any item, count in how many documents each occurs
-and keep the runs long enough to hold a whole window (length bound).  Shingles are then ordered by
-rarity over the whole corpus; a window needs all of its shingles, so its rarest one is a sufficient prefix.
-Runs are joined with windows on the prefix shingle, the place of the prefix in the window fixes where
-the window would have to lie (positional bound), and the whole window is compared there.
-
-Items are held in blocks of at most ``block_shingles`` shingles, each broadcast and compared with the
-whole corpus in turn, so any number of items is handled by bounded tasks.
+into words; a passage of ``words`` words is a window of consecutive ``shingle``-word shingles.
+
+* The items' shingles are written as a table.  Their keys set the bits of a filter of bounded size, which is all that
+  tasks over the corpus get to know of the items, however many there are.
+* The corpus is read once.  Tasks keep the runs of shingles that may be an item's and that are long
+  enough to hold a whole window (length bound), and count in how many documents each such shingle occurs.
+* Shingles are ordered by rarity over the whole corpus.  A window needs all of its shingles, so its rarest one is a
+  sufficient prefix; windows with a shingle that no document holds drop out.
+* Runs are joined with windows on the prefix shingle in a shuffle, salted by document.  The place of the prefix
+  in the window fixes where the window would have to lie (positional bound), and the window is compared there word by
+  word, so neither the filter nor a collision of keys can add or lose a leak.
 
 Defined results: null and empty texts and texts of fewer than ``words`` words leak nothing; repeated
 documents and items are each reported; a document without an id is reported with a null one.
@@ -18,23 +20,26 @@ documents and items are each reported; a document without an id is reported with
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from graphloom.llm.looks import Rewriter, rewriting
 from graphloom.session import cut_lineage, spread
 
 WORDS = 12
 SHINGLE = 5
-BLOCK_SHINGLES = 500_000
+#: Bits of a key filter: about sixteen a key, within these bounds (at most 16 MB).
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+SALTS = 16
 _WORD = re.compile(r"[^\W_]+")
 _SPACED = "".join(chr(c) if chr(c).isalnum() else " " for c in range(128))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Documents whose shingles are made at once, and word hashes and counts that a task keeps.
+AT_ONCE, KEPT = 512, 1 << 20
 
 
 def words_of(text: str, rewriter: Rewriter) -> list[str]:
@@ -43,194 +48,204 @@ def words_of(text: str, rewriter: Rewriter) -> list[str]:
     return low.translate(_SPACED).split() if low.isascii() else _WORD.findall(low)
 
 
+class _Hashes(dict):
+    """Word to a 64-bit hash that is the same in every task; 0 is no word."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) or 1
+        return value
+
+
 def _keys(ids: np.ndarray, shingle: int) -> np.ndarray:
-    """A 64-bit key of each window of ``shingle`` word numbers."""
+    """A 64-bit key of each run of ``shingle`` word hashes."""
     n = len(ids) - shingle + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     key = np.zeros(n, np.uint64)
     for i in range(shingle):
-        key = (key ^ ids[i : i + n].astype(np.uint64)) * _MULTIPLIER
+        key = (key ^ ids[i : i + n]) * _MULTIPLIER
         key ^= key >> np.uint64(29)
     return key
 
 
-class ItemBlock:
-    """Shingles and windows of some items."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], words: int, shingle: int):
-        self.words, self.shingle, self.span = words, shingle, words - shingle + 1
-        self.vocabulary: dict[str, int] = {}
-        number: dict[tuple[int, ...], int] = {}
-        self.item, self.at, windows = [], [], []
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in text]
-            shingles = [number.setdefault(tuple(ids[i : i + shingle]), len(number)) for i in range(len(ids) - shingle + 1)]
-            for at in range(len(shingles) - self.span + 1):
-                self.item.append(item)
-                self.at.append(at)
-                windows.append(shingles[at : at + self.span])
-        self.windows = np.array(windows, np.int32).reshape(-1, self.span)
-        self.shingles = np.array(list(number), np.int64).reshape(-1, shingle)
-        keys = np.array([_keys(s, shingle)[0] for s in self.shingles], np.uint64)
-        self.order = np.argsort(keys, kind="stable")
-        self.sorted_keys = keys[self.order]
-
-    def shingles_at(self, ids: np.ndarray) -> np.ndarray:
-        """The item shingle that starts at each word, -1 if none does; words are compared, not only keys."""
-        keys = _keys(ids, self.shingle)
-        out = np.full(len(keys), -1, np.int32)
-        if not len(keys) or not len(self.sorted_keys):
-            return out
-        known = ids > 0
-        full = known[: len(keys)].copy()
-        for i in range(1, self.shingle):
-            full &= known[i : i + len(keys)]
-        spots = np.flatnonzero(full)
-        lo = np.searchsorted(self.sorted_keys, keys[spots], "left")
-        hit = (lo < len(self.sorted_keys)) & (self.sorted_keys[np.minimum(lo, len(self.sorted_keys) - 1)] == keys[spots])
-        spots, lo = spots[hit], lo[hit]
-        while len(spots):  # more than one turn only if keys of item shingles collide
-            candidate = self.order[lo]
-            same = np.ones(len(spots), bool)
-            for i in range(self.shingle):
-                same &= self.shingles[candidate, i] == ids[spots + i]
-            out[spots[same]] = candidate[same]
-            spots, lo = spots[~same], lo[~same] + 1
-            more = (lo < len(self.sorted_keys)) & (self.sorted_keys[np.minimum(lo, len(self.sorted_keys) - 1)] == keys[spots])
-            spots, lo = spots[more], lo[more]
-        return out
-
-
-def _blocks(items: DataFrame, item_id: str, text: str, rewriter: Rewriter, words: int, shingle: int, most: int) -> Iterator[ItemBlock]:
-    held, size = [], 0
-    for row in items.select(item_id, text).filter(F.col(text).isNotNull()).toLocalIterator():
-        own = words_of(row[1], rewriter)
-        if len(own) < words:
-            continue
-        held.append((row[0], own))
-        size += len(own)
-        if size >= most:
-            yield ItemBlock(held, words, shingle)
-            held, size = [], 0
-    if held:
-        yield ItemBlock(held, words, shingle)
+class KeyFilter:
+    """A bit set with two bits a key: tells keys that are surely not in the set."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(64 * len(words) - 1)
+
+    @staticmethod
+    def places(key, mask):
+        return key & mask, (key >> np.uint64(32)) & mask
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        held = np.ones(len(keys), bool)
+        for place in self.places(keys, self.mask):
+            held &= (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return held
+
+
+def key_filter(keys: DataFrame, column: str, least: int = LEAST_BITS, most: int = MOST_BITS) -> KeyFilter:
+    """The filter of a LONG column.  Bits are put together by partial aggregates; at most ``most`` bits reach the driver."""
+    bits = least
+    wanted = 16 * keys.count()
+    while bits < min(wanted, most):
+        bits *= 2
+    key = F.col(column)
+    place = F.explode(F.array(key.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1)))).alias("place")
+    # shifting takes the lowest six bits of the place as the bit within its word
+    words = keys.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits"))
+    out = np.zeros(bits // 64, np.uint64)
+    for part in words.toArrow().to_batches():
+        out[part.column("word").to_numpy()] = part.column("bits").to_numpy().view(np.uint64)
+    return KeyFilter(out)
+
+
+def _item_shingles(mapping: dict[str, str], words: int, shingle: int):
+    """Every shingle of an item, with the words of the window that starts there (null where none does)."""
+
+    def run(batches):
+        rewriter, hashes = Rewriter(mapping), _Hashes()
+        for batch in batches:
+            row, item, at, key, text = [], [], [], [], []
+            for number, own, value in zip(*(c.to_pylist() for c in batch.columns)):
+                parts = words_of(value, rewriter) if value else []
+                if len(parts) < words:
+                    continue
+                found = _keys(np.array([hashes[w] for w in parts], np.uint64), shingle)
+                row += [number] * len(found)
+                item += [own] * len(found)
+                at += range(len(found))
+                key.append(found.view(np.int64))
+                text += [" ".join(parts[i : i + words]) if i + words <= len(parts) else None for i in range(len(found))]
+            keys = np.concatenate(key) if key else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(item, pa.int64()), pa.array(at, pa.int32()), pa.array(keys), pa.array(text, pa.string())], names=["row", "item", "at", "key", "text"])
+
+    return run
 
 
 def _runs(found: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of the maximal runs of at least ``least`` marked places."""
-    marked = np.r_[False, found >= 0, False]
+    marked = np.r_[False, found, False]
     edge = np.flatnonzero(marked[1:] != marked[:-1])
     start, end = edge[::2], edge[1::2]
     long = end - start >= least
     return start[long], end[long]
 
 
-def _mark(block, mapping: dict[str, str]):
-    """Long runs of item shingles of each document, and at the end of a task the document counts."""
+_MARKED = "doc long, start int, keys array<bigint>, words array<string>, counts array<bigint>"
+
+
+def _mark(filtering, mapping: dict[str, str], span: int, shingle: int):
+    """Long runs of each document, with their words, and the document counts of what the task has met."""
 
     def run(batches):
-        own = block.value
-        rewriter, get = Rewriter(mapping), own.vocabulary.get
-        seen_in = np.zeros(len(own.shingles), np.int64)
-        schema = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("shingles", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-        gap = [0] * own.shingle
+        held = filtering.value
+        rewriter, hashes = Rewriter(mapping), _Hashes()
+        schema = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("keys", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+        seen_key, seen_n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        gap = [0] * shingle
+
+        def counts():
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([seen_key.view(np.int64)], pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.string())), pa.array([seen_n], pa.list_(pa.int64()))], schema=schema)
+
         for batch in batches:
-            docs, starts, kept = [], [], []
-            texts = batch.column(1).to_pylist()
-            keys = batch.column(0).to_pylist()
-            for first in range(0, len(texts), 512):
+            docs, starts, kept, said = [], [], [], []
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first in range(0, len(texts), AT_ONCE):
                 ids: list[int] = []
-                owner, begin = [], []
-                for key, text in zip(keys[first : first + 512], texts[first : first + 512]):
+                owner, begin, spoken = [], [], []
+                for name, text in zip(names[first : first + AT_ONCE], texts[first : first + AT_ONCE]):
                     if text:
-                        owner.append(key)
+                        own = words_of(text, rewriter)
+                        owner.append(name)
                         begin.append(len(ids))
-                        ids.extend([get(w, 0) for w in words_of(text, rewriter)])
+                        spoken.append(own)
+                        ids.extend([hashes[w] for w in own])
                         ids.extend(gap)
-                found = own.shingles_at(np.array(ids, np.int64))
-                spots = np.flatnonzero(found >= 0)
+                numbers = np.array(ids, np.uint64)
+                keys = _keys(numbers, shingle)
+                found = held.may_hold(keys)
+                for i in range(shingle):
+                    found &= numbers[i : i + len(keys)] > 0
+                spots = np.flatnonzero(found)
+                if len(hashes) > KEPT:
+                    hashes.clear()
                 if not len(spots):
                     continue
                 doc_of = np.searchsorted(np.array(begin), spots, "right") - 1
-                pairs = np.unique(doc_of.astype(np.int64) * len(own.shingles) + found[spots])
-                seen_in += np.bincount(pairs % len(own.shingles), minlength=len(own.shingles))
-                for a, b in zip(*_runs(found, own.span)):
+                order = np.lexsort((doc_of, keys[spots]))
+                key, doc_of = keys[spots][order], doc_of[order]
+                once = np.r_[True, (key[1:] != key[:-1]) | (doc_of[1:] != doc_of[:-1])]
+                seen_key, place = np.unique(np.concatenate([seen_key, key[once]]), return_inverse=True)
+                seen_n = np.bincount(place, weights=np.concatenate([seen_n, np.ones(int(once.sum()))])).astype(np.int64)
+                for a, b in zip(*_runs(found, span)):
                     at = np.searchsorted(begin, a, "right") - 1
                     docs.append(owner[at])
                     starts.append(a - begin[at])
-                    kept.append(found[a:b])
+                    kept.append(keys[a:b].view(np.int64))
+                    said.append(spoken[at][a - begin[at] : b - begin[at] + shingle - 1])
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(kept, pa.list_(pa.int32())), pa.nulls(len(docs), pa.list_(pa.int64()))], schema=schema)
-        there = np.flatnonzero(seen_in)
-        if len(there):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([there.astype(np.int32)], pa.list_(pa.int32())), pa.array([seen_in[there]], pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(kept, pa.list_(pa.int64())), pa.array(said, pa.list_(pa.string())), pa.nulls(len(docs), pa.list_(pa.int64()))], schema=schema)
+            if len(seen_key) > KEPT:
+                yield counts()
+                seen_key, seen_n = seen_key[:0], seen_n[:0]
+        if len(seen_key):
+            yield counts()
 
     return run
 
 
-def _prefixes(block: ItemBlock, counts: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """Rarest shingle to the windows that it stands for and its place in them; windows with an absent shingle drop out."""
-    if not len(block.windows):
-        return {}
-    frequency = counts[block.windows]
-    alive = (frequency > 0).all(axis=1)
-    rarity = frequency.astype(np.int64) * (len(block.shingles) + 1) + block.windows
-    place = rarity.argmin(axis=1)
-    out: dict[int, list[tuple[int, int]]] = {}
-    for window in np.flatnonzero(alive).tolist():
-        at = int(place[window])
-        out.setdefault(int(block.windows[window, at]), []).append((window, at))
-    return out
-
+def _prefix_tokens(filtering, span: int, words: int):
+    """The places of runs that may be a prefix, with the words around each that a window could take."""
 
-def _verify(block, prefixes):
     def run(batches):
-        own, by_prefix = block.value, prefixes.value
-        wanted = np.zeros(len(own.shingles), bool)
-        wanted[list(by_prefix)] = True
+        held = filtering.value
         for batch in batches:
-            doc, item, item_at, doc_at = [], [], [], []
-            runs = batch.column(2)
-            values = runs.flatten().to_numpy()
-            bounds = np.r_[0, np.cumsum(runs.value_lengths().to_numpy())]
-            for i, (key, start) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                run_ = values[bounds[i] : bounds[i + 1]]
-                for spot in np.flatnonzero(wanted[run_]).tolist():
-                    for window, at in by_prefix[int(run_[spot])]:
-                        begin = spot - at
-                        if begin < 0 or begin + own.span > len(run_):
-                            continue
-                        if (run_[begin : begin + own.span] == own.windows[window]).all():
-                            doc.append(key)
-                            item.append(own.item[window])
-                            item_at.append(own.at[window])
-                            doc_at.append(start + begin)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(item_at, pa.int32()), pa.array(doc_at, pa.int32())], names=["doc", "item", "item_at", "doc_at"])
+            key, doc, doc_at, left, around = [], [], [], [], []
+            for name, start, keys, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                for spot in np.flatnonzero(held.may_hold(np.array(keys, np.int64).view(np.uint64))).tolist():
+                    begin = max(0, spot - span + 1)
+                    key.append(keys[spot])
+                    doc.append(name)
+                    doc_at.append(start + spot)
+                    left.append(spot - begin)
+                    around.append(own[begin : spot + words])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(doc_at, pa.int32()), pa.array(left, pa.int32()), pa.array(around, pa.list_(pa.string()))], names=["key", "doc", "doc_at", "left", "around"]
+            )
 
     return run
 
 
-def leaked_windows(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", words: int = WORDS, shingle: int = SHINGLE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def leaked_windows(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", words: int = WORDS, shingle: int = SHINGLE, most_bits: int = MOST_BITS, salts: int = SALTS) -> DataFrame:
     """``(doc, item, item_at, doc_at)``: every window of an item and every place of a document where it stands.
 
     Both ids are whole numbers.  Positions count words.
     """
     if not 1 <= shingle <= words:
         raise ValueError("a window holds at least one shingle")
-    spark = docs.sparkSession
-    mapping = rewriting()
+    context, mapping, span = docs.sparkSession.sparkContext, rewriting(), words - shingle + 1
+    least = min(LEAST_BITS, most_bits)
+    asked = items.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{item_id}`").cast("long").alias("item"), F.col(f"`{text}`").cast("string").alias("text"))
+    shingles = cut_lineage(asked.mapInArrow(_item_shingles(mapping, words, shingle), "row long, item long, at int, key long, text string"))
+    known = context.broadcast(key_filter(shingles, "key", least, most_bits))
     rows = spread(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")), "doc")
-    out = []
-    for own in _blocks(items, item_id, text, Rewriter(mapping), words, shingle, block_shingles):
-        block = spark.sparkContext.broadcast(own)
-        marked = cut_lineage(rows.mapInArrow(_mark(block, mapping), "doc long, start int, shingles array<int>, counts array<bigint>"))
-        counted = marked.filter(F.col("counts").isNotNull()).select(F.explode(F.arrays_zip("shingles", "counts")).alias("c")).groupBy("c.shingles").agg(F.sum("c.counts").alias("n"))
-        counts = np.zeros(len(own.shingles), np.int64)
-        for row in counted.toLocalIterator():  # one row for each item shingle of the block that occurs
-            counts[row[0]] = row[1]
-        prefixes = spark.sparkContext.broadcast(_prefixes(own, counts))
-        out.append(marked.filter(F.col("counts").isNull()).select("doc", "start", "shingles").mapInArrow(_verify(block, prefixes), "doc long, item long, item_at int, doc_at int"))
-    if not out:
-        return spark.createDataFrame([], "doc long, item long, item_at int, doc_at int")
-    return reduce(DataFrame.unionByName, out)
+    marked = cut_lineage(rows.mapInArrow(_mark(known, mapping, span, shingle), _MARKED))
+
+    counts = marked.filter("counts IS NOT NULL").select(F.explode(F.arrays_zip("keys", "counts")).alias("c")).groupBy(F.col("c.keys").alias("key")).agg(F.sum("c.counts").alias("n"))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int").alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    rated = shingles.select("*", salt("row")).join(counts.select("*", every), ["key", "salt"], "left")
+    ahead = Window.partitionBy("row").orderBy("at").rowsBetween(0, span - 1)  # the words of one item
+    rated = rated.withColumn("first", F.min(F.struct("n", "key", "at")).over(ahead)).withColumn("alive", F.count("n").over(ahead) == span)
+    # one row a window of an item that the corpus may hold
+    windows = cut_lineage(rated.filter("alive AND text IS NOT NULL").select(F.col("first.key").alias("key"), (F.col("first.at") - F.col("at")).alias("place"), "item", F.col("at").alias("item_at"), "text"))
+    prefixes = context.broadcast(key_filter(windows, "key", least, most_bits))
+    tokens = marked.filter("counts IS NULL").select("doc", "start", "keys", "words").mapInArrow(_prefix_tokens(prefixes, span, words), "key long, doc long, doc_at int, left int, around array<string>")
+
+    both = tokens.select("*", salt("doc")).join(windows.select("*", every), ["key", "salt"])
+    begin = F.col("left") - F.col("place")
+    there = (begin >= 0) & (begin + words <= F.size("around"))
+    same = F.array_join(F.slice("around", F.greatest(begin, F.lit(0)) + 1, F.lit(words)), " ") == F.col("text")
+    return both.filter(there & same).select("doc", "item", "item_at", (F.col("doc_at") - F.col("place")).alias("doc_at"))

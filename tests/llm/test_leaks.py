@@ -47,8 +47,8 @@ def test_against_all_windows(spark, seed, words, shingle, vocabulary):
     docs, items = sample(seed, vocabulary)
     want = brute(docs, items, words)
     assert want
-    for most in (10**6, 40):
-        got = leaks.leaked_windows(*frames(spark, docs, items), words=words, shingle=shingle, block_shingles=most).collect()
+    for bits in (leaks.MOST_BITS, 64):  # a filter that lets everything through changes nothing
+        got = leaks.leaked_windows(*frames(spark, docs, items), words=words, shingle=shingle, most_bits=bits, salts=3).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
@@ -65,17 +65,31 @@ def test_words():
     assert leaks.words_of("ＡＢＣ а_ÄÖ", PLAIN) == ["abc", "a", "äö"]
 
 
-def test_key_collisions_are_resolved(monkeypatch):
+def test_key_collisions_are_resolved(spark, monkeypatch):
+    docs, items = sample(5)
+    made = leaks._keys
+    monkeypatch.setattr(leaks, "_keys", lambda ids, shingle: made(ids, shingle) % 7)
+    got = leaks.leaked_windows(*frames(spark, docs, items), words=6, shingle=3).collect()
+    assert {tuple(r) for r in got} == brute(docs, items, 6)
+
+
+def test_counts_are_handed_on_in_pieces(spark, monkeypatch):
+    docs, items = sample(6)
+    monkeypatch.setattr(leaks, "KEPT", 5)
+    monkeypatch.setattr(leaks, "AT_ONCE", 3)
+    got = leaks.leaked_windows(*frames(spark, docs, items), words=6, shingle=3).collect()
+    assert {tuple(r) for r in got} == brute(docs, items, 6)
+
+
+def test_filters_hold_their_keys(spark):
     import numpy as np
 
-    items = [(1, "a b c d e f".split()), (2, "b a c d e f".split())]
-    plain = leaks.ItemBlock(items, 4, 3)
-    monkeypatch.setattr(leaks, "_keys", lambda ids, shingle: np.zeros(max(0, len(ids) - shingle + 1), np.uint64))
-    collided = leaks.ItemBlock(items, 4, 3)
-    ids = np.array([plain.vocabulary.get(w, 0) for w in "x b a c d q a b c d e f".split()])
-    found = collided.shingles_at(ids)
-    monkeypatch.undo()
-    assert found.tolist() == plain.shingles_at(ids).tolist() and (found >= 0).sum() == 6
+    r = random.Random(8)
+    keys = [r.randrange(-(1 << 63), 1 << 63) for _ in range(3000)] + [0, -1, (1 << 63) - 1]
+    held = leaks.key_filter(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 1 << 10, 1 << 16)
+    assert held.may_hold(np.array(keys, np.int64).view(np.uint64)).all()
+    other = np.array([r.randrange(1 << 63) for _ in range(3000)], np.uint64)
+    assert held.may_hold(other).mean() < 0.05 and len(held.words) == 1 << 10
 
 
 def test_nothing_to_find(spark):
