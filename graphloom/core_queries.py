@@ -195,8 +195,9 @@ def p6_instants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    times = _times(spark, sf, _all_zones(spark, sf)).filter(F.col("instant").isNotNull()).select("variable", "key", "instant", "value", "prop_id")
-    return pairs.differing_pairs(cut_lineage(times), ["variable", "key", "instant"], "value", "prop_id")  # texts are read once
+    times = _times(spark, sf, _all_zones(spark, sf)).select("variable", "key", "instant", "value", "prop_id")
+    times = cut_lineage(times)  # texts are read once; a filter before this would make the plan read them twice
+    return pairs.differing_pairs(times.filter(F.col("instant").isNotNull()), ["variable", "key", "instant"], "value", "prop_id")
 
 
 def _told(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,8 +10,8 @@ Reading rules
 
 Null text, or a local time of a source without a zone, gives null.  Years run from -9999 to 9999.
 
-The plain forms (ISO date and time with ``Z`` or an offset, whole numbers of up to 13 digits) are read inside
-the JVM; only other texts and local times go to Python, in Arrow batches.
+The plain forms (ISO date and time with ``Z`` or an offset of hours and minutes, whole numbers of up to 13 digits)
+are read inside the JVM; only other texts and local times go to Python, in Arrow batches.
 
 Where a source declares no zone, :func:`estimate_zones` finds one: each candidate zone's offset
 history is applied to the source's local timestamps, which are aligned with a time that limits them
@@ -54,8 +54,8 @@ _NUMBER = re.compile(r"(?P<sign>[+-]?)(?P<n>[0-9]+)(?:\.(?P<f>[0-9]{1,12}))?\Z")
 _WRAPPED = re.compile(r"(?:ZONED_DATETIME|datetime|dateTimeStamp)\(\s*(['\"])(.*)\1\s*\)\Z", re.S)
 _MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 _LONG_MONTHS = {m: i + 1 for i, m in enumerate("january february march april may june july august september october november december".split())}
-#: What the JVM reads: a date and time whose parts stand at fixed places, then a fraction and an offset.
-_PLAIN = r"\A(?:ZONED_DATETIME\(')?[+-]?[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,12})?(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?)(?:'\))?\z"
+#: What Spark's own cast reads as the rules want it, once months and days 00 are 01.
+_PLAIN = r"\A[+-]?[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,9})?(?:Z|[+-][0-9]{2}:[0-9]{2})\z"
 _COUNT = r"\A[+-]?[0-9]{1,13}\z"
 _EPOCH = datetime(1970, 1, 1)
 _DAY0 = date(1970, 1, 1).toordinal()
@@ -175,27 +175,6 @@ def parse_instant(text: str | None, zone: str | None, abbr: Mapping[str, int]) -
 _READ = T.StructType([T.StructField("instant", T.LongType()), T.StructField("local", T.LongType()), T.StructField("explicit", T.LongType())])
 
 
-def _plain_instant(text: Column) -> Column:
-    """Microseconds UTC of a text of the form ``_PLAIN``, null if there is no such date, time or offset."""
-    bare = F.replace(F.replace(text, F.lit("ZONED_DATETIME('")), F.lit("')"))
-    sign = F.when(bare.startswith("-"), "-").otherwise("")
-    bare = F.when(F.left(bare, F.lit(1)).isin("+", "-"), F.substring(bare, 2, 64)).otherwise(bare)
-    part = lambda at, size: F.substring(bare, at, size)
-    number = lambda at: part(at, 2).try_cast("int")
-    first = lambda at: F.when(part(at, 2) == "00", "01").otherwise(part(at, 2))
-    day = F.concat(sign, part(1, 4), F.lit("-"), first(6), F.lit("-"), first(9)).try_cast("date")
-    hour, minute, second = number(12), number(15), number(18)
-    tail = F.substring(bare, 20, 32)
-    fraction = F.when(tail.startswith("."), F.rpad(F.regexp_extract(tail, r"^\.([0-9]{1,6})", 1), 6, "0").try_cast("long")).otherwise(F.lit(0))
-    offset = F.regexp_replace(F.regexp_replace(tail, r"^\.[0-9]+", ""), ":", "")
-    east = F.when(offset == "Z", F.lit(0)).when(
-        (F.substring(offset, 2, 2).try_cast("int") <= 18) & (F.coalesce(F.substring(offset, 4, 2).try_cast("int"), F.lit(0)) <= 59),
-        F.when(offset.startswith("-"), -1).otherwise(1) * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.coalesce(F.substring(offset, 4, 2).try_cast("int"), F.lit(0))),
-    )
-    seconds = F.unix_date(day).cast("long") * 86400 + hour * 3600 + minute * 60 + second - east * 60
-    return F.when((hour <= 23) & (minute <= 59) & (second <= 59), seconds * F.lit(1_000_000).cast("long") + fraction)
-
-
 def read_times(text: Column, zone: Column, zones: Mapping[str, str]) -> Column:
     """Struct (instant, local, explicit) of each text; ``zone`` is the IANA name for local times."""
     abbr = abbreviations(zones)
@@ -207,12 +186,13 @@ def read_times(text: Column, zone: Column, zones: Mapping[str, str]) -> Column:
         rows = [parse_instant(t if isinstance(t, str) else None, z if isinstance(z, str) else None, abbr) for t, z in zip(texts, names)]
         return pd.DataFrame({c: pd.array([r[i] for r in rows], dtype="Int64") for i, c in enumerate(("instant", "local", "explicit"))})
 
-    plain, count = text.rlike(_PLAIN), text.rlike(_COUNT)
     digits = F.length(F.regexp_replace(text, "^[+-]", ""))
     counted = text.try_cast("long") * F.when(digits == 13, F.lit(1_000)).otherwise(F.lit(1_000_000))
-    instant = F.when(plain, _plain_instant(text)).when(count, counted)
-    by_jvm = F.struct(instant.alias("instant"), F.lit(None).cast("long").alias("local"), instant.alias("explicit"))
-    return F.when(plain | count, by_jvm).otherwise(read(F.when(~(plain | count), text), zone))
+    bare = F.regexp_replace(text, r"\AZONED_DATETIME\('(.*)'\)\z", "$1")
+    stamp = F.regexp_replace(bare, "-00(?=[-T ])", "-01").try_cast("timestamp")
+    by_jvm = F.when(bare.rlike(_PLAIN), F.unix_micros(stamp)).when(text.rlike(_COUNT), counted)
+    rest = read(F.when(by_jvm.isNull(), text), zone)
+    return F.struct(F.coalesce(by_jvm, rest["instant"]).alias("instant"), rest["local"].alias("local"), F.coalesce(by_jvm, rest["explicit"]).alias("explicit"))
 
 
 def zone_column(feed: Column, zones: Mapping[str, str]) -> Column:
