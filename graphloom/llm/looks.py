@@ -1,8 +1,8 @@
 """One consistent form for text that looks the same but is written with different characters.
 
 Look-alike classes are the components of a union-find over strings and code points.  Its pairs come
-from rules over the Unicode character data (full- and half-width forms, ligatures, blanks of one word
-space, invisible characters) and from the table of look-alike letters below; so ``ﬁ``, ``fi`` and
+from rules over the Unicode character data (full- and half-width forms, ligatures, Roman numerals of one letter,
+blanks of one word space, invisible characters) and from the table of look-alike letters below; so ``ﬁ``, ``fi`` and
 ``ｆｉ`` end in the same form.  Within a class of single characters the most frequent
 one in the corpus stands for all; a class with the empty string vanishes; a ligature becomes its letters.
 Text is decomposed, rewritten greedily (leftmost, longest) by an Aho-Corasick automaton over all other
@@ -29,8 +29,8 @@ from graphloom.session import spread
 # Letters of other alphabets and, below each, the letters that they look like.
 LOOK_ALIKES = (
     # Cyrillic
-    ("АВЕЅІЈКМНОРСТУХҮԌԚԜӀ", "ABESIJKMHOPCTYXYGQWI"),
-    ("аеѕіјорсухүһԁԛԝ", "aesijopcyxyhdqw"),
+    ("АВЕЅІЈКМНОРСТУХҮԌԚԜӀѴ", "ABESIJKMHOPCTYXYGQWIV"),
+    ("аеѕіјорсухүһԁԛԝѵ", "aesijopcyxyhdqwv"),
     # Greek
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺͿ", "ABEZHIKMNOPTYXCMJ"),
     ("ονρϲϳ", "ovpcj"),
@@ -39,6 +39,13 @@ LOOK_ALIKES = (
     ("օսհոցզյ", "ouhngqj"),
     # Cherokee
     ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏔᏙᏚᏞᏟᏢᏦ", "DRTAJEWMHGZWVSLCPK"),
+    # Coptic
+    ("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "HIKMNOPCTYX"),
+    ("ⲟⲣⲥ", "opc"),
+    # Lisu
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    # Deseret
+    ("𐐄𐐕𐐛𐐠𐐬𐐽𐑈", "OCLSocs"),
 )
 #: Format characters that are drawn: number and verse signs set before other characters.
 _DRAWN = set(map(chr, [*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD]))
@@ -64,7 +71,8 @@ def look_alike_pairs() -> Iterable[tuple[str, str]]:
             yield char, " "
         elif form := unicodedata.decomposition(char):
             tag, _, rest = form.partition(" ")
-            if tag in ("<wide>", "<narrow>", "<noBreak>") or (tag == "<compat>" and "LIGATURE" in unicodedata.name(char, "")):
+            name = unicodedata.name(char, "")
+            if tag in ("<wide>", "<narrow>", "<noBreak>") or (tag == "<compat>" and ("LIGATURE" in name or ("ROMAN NUMERAL" in name and " " not in rest))):
                 yield char, unicodedata.normalize("NFD", "".join(chr(int(x, 16)) for x in rest.split()))
     for strange, plain in LOOK_ALIKES:
         yield from zip(strange, plain, strict=True)
@@ -232,9 +240,15 @@ def look_classes(prints: DataFrame, key: str) -> DataFrame:
 
     ``n_texts`` is the exact number of different texts in the class; copies of a text are put together first.
     """
-    per_text = prints.groupBy(*LOOK, "text_1", "text_2").agg(F.min(key).alias("class_id"))
-    per_class = per_text.groupBy(*LOOK).agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
-    return prints.select(key, *LOOK).join(per_class, LOOK).select(key, "class_id", "n_texts")
+    per_text = prints.groupBy(*LOOK, "text_1", "text_2").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("rows"))
+    per_class = per_text.groupBy(*LOOK).agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts"), F.sum("rows").alias("rows"))
+    # rows are salted, so a class of very many rows is spread; a class of one row needs no copies
+    per_class = per_class.withColumn("salt", F.explode(F.when(F.col("rows") == 1, F.array(_salt("class_id"))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    return prints.select(key, *LOOK, _salt(key).alias("salt")).join(per_class, [*LOOK, "salt"]).select(key, "class_id", "n_texts")
+
+
+def _salt(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
 def same_look_pairs(prints: DataFrame, key: str) -> DataFrame:
@@ -247,11 +261,12 @@ def same_look_pairs(prints: DataFrame, key: str) -> DataFrame:
     distinct = prints.groupBy(*LOOK, *text).agg(F.count(F.lit(1)).alias("n"))
     several = distinct.groupBy(*LOOK).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     distinct = distinct.join(several, LOOK, "left_semi")
-    a = distinct.select(*LOOK, F.struct(*text).alias("text_a"))
-    b = distinct.select(*LOOK, F.struct(*text).alias("text_b"))
-    pairs = a.join(b, LOOK).filter(F.col("text_a") < F.col("text_b")).drop(*LOOK)
+    # only classes of several texts are left; one side is salted, the other repeated
+    a = distinct.select(*LOOK, F.struct(*text).alias("text_a"), _salt(*text).alias("salt"))
+    b = distinct.select(*LOOK, F.struct(*text).alias("text_b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = a.join(b, [*LOOK, "salt"]).filter(F.col("text_a") < F.col("text_b")).drop(*LOOK, "salt")
     rows = prints.select(F.col(key).alias("__key"), F.struct(*text).alias("text"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("salt", _salt("__key"))
     pairs = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     left = pairs.join(salted.withColumnsRenamed({"text": "text_a", "__key": "key_a"}), ["text_a", "salt"]).drop("salt", "text_a")
     left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

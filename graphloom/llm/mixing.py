@@ -131,7 +131,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: st
     """The mix ``(doc_id, source, n_tokens, copies)`` and its report.
 
     The report has a row for each source of either side: ``(source, target_share, max_repeats,
-    available_tokens, mixed_tokens, actual_share)``.
+    available_tokens, quota_tokens, mixed_tokens, actual_share, filled)``.  A quota is filled where no document that
+    may still be taken fits into what is left of it.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{doc_id}`"), source_key(F.col(f"`{source}`")).alias("source"), F.col(f"`{text}`").alias("text"))
@@ -186,12 +187,19 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: st
             more = more.withColumn("sum", F.sum("n_tokens").over(Window.partitionBy(*within).orderBy("n_tokens", "place", doc_id))).filter("sum <= left")
         last = more.groupBy("source").agg(F.max(smallest).alias("last"))
         filled = filled.join(F.broadcast(last), "source", "left").withColumn("taken", F.col("taken") | (out & F.coalesce(smallest <= F.col("last"), F.lit(False))))
-    mixed = filled.withColumn("copies", copies).filter("copies > 0").select(doc_id, "source", "n_tokens", "copies")
+    filled = filled.withColumn("copies", copies)
+    mixed = filled.filter("copies > 0").select(doc_id, "source", "n_tokens", "copies")
 
+    # one row for each source that has a target
+    most = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(repeats.items()) for x in kv]), F.col("source")) if repeats else F.lit(0)
+    out = filled.groupBy("source").agg(F.min(F.when(~F.col("taken") & (F.col("copies") < most), F.col("n_tokens"))).alias("smallest_out"))
+    asked = spark.createDataFrame([(k, v * size) for k, v in quota.items()], "source string, quota_tokens long")
     reached = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
     available = sizes.filter(F.col("source").isNotNull()).groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     table = spark.createDataFrame(wanted, "source string, target_share double, max_repeats int")
-    report = table.join(available, "source", "full").join(reached, "source", "left").fillna(0, ["available_tokens", "mixed_tokens"])
+    report = table.join(available, "source", "full").join(reached, "source", "left").join(asked, "source", "left").join(out, "source", "left").fillna(0, ["available_tokens", "mixed_tokens", "quota_tokens"])
+    left_over = F.col("quota_tokens") - F.col("mixed_tokens")
+    report = report.withColumn("filled", (left_over >= 0) & ((left_over == 0) | F.col("smallest_out").isNull() | (left_over < F.col("smallest_out"))))
     whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))  # one row a source
-    report = report.select("source", "target_share", "max_repeats", "available_tokens", "mixed_tokens", F.when(whole > 0, F.col("mixed_tokens") / whole).alias("actual_share"))
+    report = report.select("source", "target_share", "max_repeats", "available_tokens", "quota_tokens", "mixed_tokens", F.when(whole > 0, F.col("mixed_tokens") / whole).alias("actual_share"), "filled")
     return mixed, report
