@@ -37,7 +37,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 def p8_quotas(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the mix fills the quota of each source that has a target and documents, as far as whole documents can."""
     report = mixing.mix(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets"))[1]
-    return report.filter("quota_tokens > 0").select("source", "filled", (F.abs(F.col("quota_tokens") - F.col("mixed_tokens")) <= 0.01 * F.col("quota_tokens")).alias("within_1_percent"))
+    return report.filter("quota_tokens > 0").select("source", "filled")
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,6 +57,6 @@ def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p7_found, p7_report, p8_mix, p8_shares, p8_quotas, p9_found, p9_classes)}
 ORACLE: dict[str, str] = {
     "p8_quotas": """
-        SELECT DISTINCT lower(trim(t.source)) AS source, true AS filled, true AS within_1_percent FROM mix_targets t JOIN documents d ON lower(trim(d.source)) = lower(trim(t.source))
+        SELECT DISTINCT lower(trim(t.source)) AS source, true AS filled FROM mix_targets t JOIN documents d ON lower(trim(d.source)) = lower(trim(t.source))
         WHERE d.text <> '' AND t.target_share > 0 AND t.max_repeats > 0""",
 }
