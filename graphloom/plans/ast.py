@@ -36,8 +36,11 @@ class Node:
 
 @dataclass(frozen=True)
 class Edge:
+    """An edge pattern: a variable, a constant number, or neither (anonymous)."""
+
     var: str | None = None
     labels: object | None = None
+    const: int | None = None
 
 
 @dataclass(frozen=True)

@@ -40,13 +40,17 @@ def _literal(x, date: str) -> str:
     return f"?{x.name}" if isinstance(x, Var) else f"?{x.var}.{x.key}"
 
 
+def _edge_name(e) -> str:
+    return f"?{e.var}" if e.var else "" if e.const is None else str(e.const)
+
+
 def to_pattern(q: Query) -> str:
     """The query in the pattern language; parses to the same tree."""
 
     def node(n) -> str:
         return f"({f'?{n.var}' if n.var else n.const or ''}{':' + _label_text(n.labels) if n.labels else ''})"
 
-    text = ", ".join(f"{node(t.src)}-[{f'?{t.edge.var}' if t.edge.var else ''}{':' + _label_text(t.edge.labels) if t.edge.labels else ''}]->{node(t.dst)}" for t in q.triples)
+    text = ", ".join(f"{node(t.src)}-[{_edge_name(t.edge)}{':' + _label_text(t.edge.labels) if t.edge.labels else ''}]->{node(t.dst)}" for t in q.triples)
     if q.where is not None:
         text += " WHERE " + _condition(q.where, lambda x: _literal(x, "ZONED_DATETIME('{}')"), {})
     if q.returns:
@@ -68,7 +72,7 @@ def to_mql(q: Query) -> str:
     def node(n) -> str:
         return f"({f'?{n.var}' if n.var else n.const or ''}{labels(n.labels)})"
 
-    text = "MATCH " + ", ".join(f"{node(t.src)}-[{f'?{t.edge.var}' if t.edge.var else ''}{labels(t.edge.labels)}]->{node(t.dst)}" for t in q.triples)
+    text = "MATCH " + ", ".join(f"{node(t.src)}-[{_edge_name(t.edge)}{labels(t.edge.labels)}]->{node(t.dst)}" for t in q.triples)
     if q.where is not None:
         text += " WHERE " + _condition(q.where, lambda x: _literal(x, 'dateTimeStamp("{}")'), {"=": "=="})
     names = [_literal(r.operand, "") for r in q.returns] if q.returns else [f"?{v}" for v in q.variables()]
@@ -101,7 +105,7 @@ def to_cypher(q: Query) -> str:
         if n.const:
             if n.const not in constants:
                 count += 1
-                constants[n.const] = f"cid{count}"
+                constants[n.const] = f"fixed{count}"
             return f"({constants[n.const]}:Entity {{ qid: {_quoted(n.const)}}})"
         plain, rest = labels(n.labels)
         name = n.var or ""
@@ -122,14 +126,17 @@ def to_cypher(q: Query) -> str:
 
     def edge(e) -> str:
         nonlocal count
-        if e.labels is None:
-            return f"[{e.var or ''}]"
-        if (types := edge_types(e.labels)) is not None:
-            return f"[{e.var or ''}:{types}]"
         name = e.var
-        if not name:
+        types = edge_types(e.labels) if e.labels is not None else None
+        if not name and (e.const is not None or (e.labels is not None and types is None)):
             count += 1
             name = f"anon{count}"
+        if e.const is not None:
+            extra.append(f"id({name}) = {e.const}")
+        if e.labels is None:
+            return f"[{name or ''}]"
+        if types is not None:
+            return f"[{name or ''}:{types}]"
 
         def type_test(expr) -> str:
             if isinstance(expr, Label):

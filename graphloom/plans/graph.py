@@ -232,3 +232,7 @@ class PropertyGraph:
             if found.limit(1).count():
                 return True
         return False
+
+    def has_edge(self, number: int) -> bool:
+        """Whether an edge of this number exists; one filtered scan a source."""
+        return any(source.df.filter(source.edge(source.df) == F.lit(number)).limit(1).count() for source in self.edges)

@@ -252,6 +252,8 @@ class Plan:
             if types != source.types:
                 df = df.filter(source.type_column.isin(sorted(types)))
             size = sum(source.rows.get(x, 1.0) for x in types)
+            if t.edge.const is not None:
+                df, size = df.filter(source.edge(source.df) == F.lit(t.edge.const)), 1.0
             columns = []
             for end, identity, name in ((t.src, source.src, "src"), (t.dst, source.dst, "dst")):
                 if end.const:

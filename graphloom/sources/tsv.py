@@ -116,11 +116,12 @@ def typed(value: Column, kind: str) -> Column:
     return F.regexp_replace(value, r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2")
 
 
-def _names(df: DataFrame, column: Column) -> frozenset[str]:
-    rows = df.select(column.alias("x")).filter("x IS NOT NULL").distinct().limit(MOST_NAMES + 1).collect()
+def names_of(df: DataFrame, column: Column) -> dict[str, int]:
+    """How often each name occurs; more than ``MOST_NAMES`` names are refused."""
+    rows = df.select(column.alias("x")).filter("x IS NOT NULL").groupBy("x").count().limit(MOST_NAMES + 1).collect()
     if len(rows) > MOST_NAMES:
         raise ValueError(f"more than {MOST_NAMES} names")
-    return frozenset(r[0] for r in rows)
+    return {r[0]: r[1] for r in rows}
 
 
 def graph_from_frames(nodes: DataFrame, edges: DataFrame, node_props: Mapping[str, str] | None = None, edge_props: Mapping[str, str] | None = None, *, merge: bool = True) -> PropertyGraph:
@@ -134,7 +135,7 @@ def graph_from_frames(nodes: DataFrame, edges: DataFrame, node_props: Mapping[st
         edges = edges.withColumn("edge_id", F.monotonically_increasing_id() + 1)
     node_props = infer_kinds(nodes) if node_props is None else node_props
     edge_props = infer_kinds(edges) if edge_props is None else edge_props
-    labels, types = _names(nodes, F.explode("labels")), _names(edges, F.col("label"))
+    labels, types = frozenset(names_of(nodes, F.explode("labels"))), frozenset(names_of(edges, F.col("label")))
     prop = lambda kinds: {k: (typed(F.element_at("props", k), kind), kind) for k, kind in kinds.items()}
     rank = F.col("node_id") if "node_id" in nodes.columns else None
     table = NodeTable("Node", lambda: nodes, Identity(F.col("id")), frozenset(), prop(node_props), labels, lambda label: F.array_contains("labels", label), rank)

@@ -9,17 +9,25 @@ from graphloom.plans.parser import parse, read_queries
 
 
 def test_triples_and_labels():
-    q = parse("(?a:Person)-[?e:KNOWS]->(?b), (?b)-[:LIKES]->(Q5:(Post OR NOT Tag AND Message))")
+    q = parse("(?a:Person)-[?e:KNOWS]->(?b), (?b)-[:LIKES]->(Poet:(Post OR NOT Tag AND Message))")
     assert q.variables() == ["a", "e", "b"]
     assert q.triples[0].src.labels == Label("Person")
-    assert q.triples[1].edge.var is None and q.triples[1].dst.const == "Q5"
+    assert q.triples[1].edge.var is None and q.triples[1].dst.const == "Poet"
     assert q.triples[1].dst.labels == LabelOr((Label("Post"), LabelAnd((LabelNot(Label("Tag")), Label("Message")))))
 
 
 def test_label_rows_and_ampersand_mean_and():
-    both = LabelAnd((Label("Q38"), Label("Q55488")))
-    assert parse("(?v :Q38 :Q55488)-[?e]->(Q40)").triples[0].src.labels == both
-    assert parse("(?v:Q38&Q55488)-[?e]->(Q40)").triples[0].src.labels == both
+    both = LabelAnd((Label("Fruit"), Label("Ripe")))
+    assert parse("(?v :Fruit :Ripe)-[?e]->(basket_1)").triples[0].src.labels == both
+    assert parse("(?v:Fruit&Ripe)-[?e]->(basket_1)").triples[0].src.labels == both
+
+
+def test_constant_edges():
+    q = parse("(?a)-[17]->(?b), (?a)-[0:T]->(?c)")
+    assert [t.edge.const for t in q.triples] == [17, 0] and q.variables() == ["a", "b", "c"]
+    assert to_pattern(q) == "(?a)-[17]->(?b), (?a)-[0:T]->(?c)" and parse(to_pattern(q)) == q
+    assert to_mql(q) == "MATCH (?a)-[17]->(?b), (?a)-[0 :T]->(?c) RETURN ?a, ?b, ?c"
+    assert to_cypher(q) == "MATCH (a:Entity)-[anon1]->(b:Entity), (a:Entity)-[anon2:T]->(c:Entity) WHERE (id(anon1) = 17) AND (id(anon2) = 0) RETURN a.qid, b.qid, c.qid"
 
 
 def test_keywords_are_whole_words():
@@ -27,11 +35,11 @@ def test_keywords_are_whole_words():
 
 
 def test_where_precedence_and_operands():
-    q = parse("""(?a)-[?e]->(?b) WHERE (?a.x > 5) AND (?b.y <> "a > b" OR ?e == ?e) OR (?a = Q7)""")
+    q = parse("""(?a)-[?e]->(?b) WHERE (?a.x > 5) AND (?b.y <> "a > b" OR ?e == ?e) OR (?a = tom)""")
     first, second = q.where.items
     assert isinstance(q.where, Or) and isinstance(first, And)
     assert first.items[1] == Or((Compare("!=", Prop("b", "y"), Literal("a > b", "string")), Compare("=", Var("e"), Var("e"))))
-    assert second == Compare("=", Var("a"), Name("Q7"))
+    assert second == Compare("=", Var("a"), Name("tom"))
 
 
 @pytest.mark.parametrize(
@@ -68,9 +76,9 @@ def test_errors(text):
 
 
 def test_emitters():
-    q = parse("(?v:Q5)-[?e:P1]->(Q146) WHERE (?v.P569 < dateTimeStamp(\"1928-01-01T00:00:00Z\")) AND (?e != ?e) AND (?v.x = 'a\"b')")
-    assert to_mql(q) == 'MATCH (?v :Q5)-[?e :P1]->(Q146) WHERE (?v.P569 < dateTimeStamp("1928-01-01T00:00:00Z")) AND (?e != ?e) AND (?v.x == "a\\"b") RETURN ?v, ?e'
-    assert to_cypher(q) == """MATCH (v:Entity:Q5)-[e:P1]->(cid1:Entity { qid: "Q146"}) WHERE (v.P569 < datetime('1928-01-01T00:00:00Z')) AND (e <> e) AND (v.x = "a\\"b") RETURN v.qid, id(e)"""
+    q = parse("(?v:Poet)-[?e:MET]->(ann) WHERE (?v.born < dateTimeStamp(\"1928-01-01T00:00:00Z\")) AND (?e != ?e) AND (?v.x = 'a\"b')")
+    assert to_mql(q) == 'MATCH (?v :Poet)-[?e :MET]->(ann) WHERE (?v.born < dateTimeStamp("1928-01-01T00:00:00Z")) AND (?e != ?e) AND (?v.x == "a\\"b") RETURN ?v, ?e'
+    assert to_cypher(q) == """MATCH (v:Entity:Poet)-[e:MET]->(fixed1:Entity { qid: "ann"}) WHERE (v.born < datetime('1928-01-01T00:00:00Z')) AND (e <> e) AND (v.x = "a\\"b") RETURN v.qid, id(e)"""
     assert parse(to_mql(q)).where == q.where
     with pytest.raises(GraphQueryError):
         to_mql(parse("(?a:(X OR Y))-[?e]->(?b)"))

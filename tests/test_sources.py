@@ -53,6 +53,13 @@ def test_stored_graph_has_ranks(spark, prefix, tmp_path):
     rows = sorted(tuple(r) for r in match(graph, "(?x)-[?e]->(?y) RETURN ?e, ?x, ?y").collect())
     assert rows == [(1, "a", "b"), (2, "a", "b"), (3, "c", "c"), (4, "b", "d")]
     assert sorted(r[0] for r in match(graph, "(?x)-[?e]->(?y) WHERE (?x <= 2) AND (?e > 1) RETURN ?e").collect()) == [2, 4]
+    assert [tuple(r) for r in match(graph, "(?x)-[3]->(?y)").collect()] == [("c", "c")] and match(graph, "(?x)-[3:LIVES]->(?y)").count() == 0
+    with pytest.raises(GraphQueryError):
+        match(graph, "(?x)-[9]->(?y)")
+    pushed = match(graph, "(?x)-[?e:KNOWS]->(?y) WHERE (?e.since > 2000) AND (?x.born < 1970) RETURN ?e")
+    assert [r[0] for r in pushed.collect()] == [2]
+    plan = pushed._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(p" in plan and "LessThan(p" in plan
     plan = match(graph, "(?x)-[?e:LIVES]->(?y)")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "LIVES" in plan
 
