@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import dictionary
+from graphloom.io_queries import stored_graph
 from graphloom.plans.planner import match
 from graphloom.sources.tables import graph_from_tables
 
@@ -31,8 +32,8 @@ LOCAL_SUPPLIER = "(?c:Customer)-[?e1:IN_NATION]->(?n:Nation), (?s:Supplier)-[?e2
 _LOCAL_SQL = """SELECT 'C' || c_custkey AS c, 'N' || c_nationkey AS n, 'S' || s_suppkey AS s, 'O' || o_orderkey AS o
     FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey"""
 _SQUARE = "(?a)-[?e1:CONTAINS]->(?p), (?b)-[?e2:CONTAINS]->(?p), (?a)-[?e3:CONTAINS]->(?q), (?b)-[?e4:CONTAINS]->(?q) WHERE (?a < ?b) AND (?p < ?q) RETURN ?a, ?b, ?p, ?q"
-_SQUARE_SQL = """WITH x AS (SELECT 'O' || l.l_orderkey AS a, 'O' || r.l_orderkey AS b, 'P' || l.l_partkey AS p FROM lineitem l JOIN lineitem r ON l.l_partkey = r.l_partkey AND 'O' || l.l_orderkey < 'O' || r.l_orderkey)
-        SELECT x.a, x.b, x.p, y.p AS q FROM x JOIN x y ON x.a = y.a AND x.b = y.b AND x.p < y.p"""
+_SQUARE_SQL = """WITH x AS MATERIALIZED (SELECT l.l_orderkey AS o, l.l_partkey AS p, r.l_partkey AS q FROM lineitem l JOIN lineitem r ON l.l_orderkey = r.l_orderkey WHERE l.l_partkey <> r.l_partkey AND 'P' || l.l_partkey < 'P' || r.l_partkey)
+        SELECT 'O' || x.o AS a, 'O' || y.o AS b, 'P' || x.p AS p, 'P' || x.q AS q FROM x JOIN x y ON x.p = y.p AND x.q = y.q WHERE 'O' || x.o < 'O' || y.o"""
 _BIG = "(?c:Customer)-[:PLACED]->(?o:Order) WHERE (?o.totalprice > 300000.0) AND (?c.acctbal < 0) RETURN ?c, ?o, ?o.totalprice AS price"
 _BIG_SQL = "SELECT 'C' || c_custkey AS c, 'O' || o_orderkey AS o, o_totalprice AS price FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 300000.0 AND c_acctbal < 0"
 
@@ -143,23 +144,18 @@ def _match_count(spark: SparkSession, sf: str) -> DataFrame:
     return match(graph_from_tables(spark, sf), LOCAL_SUPPLIER).agg(F.count(F.lit(1)).alias("n_results"))
 
 
-def _tsv_graph(spark: SparkSession, sf: str):
-    from graphloom.sources.tsv import graph_from_frames, split_properties
-
-    nodes = spark.read.parquet(f"{sf}/nodes_tsv.parquet").filter(F.col("variable").isNotNull())
-    nodes = nodes.select(F.col("variable").alias("id"), F.filter(F.split(F.coalesce("labels", F.lit("")), ":"), lambda x: x != "").alias("labels"), F.lit(None).cast("map<string,string>").alias("props"))
-    edges = spark.read.parquet(f"{sf}/edges_tsv.parquet").filter("from_id IS NOT NULL AND type IS NOT NULL AND to_id IS NOT NULL")
-    edges = edges.select("edge_id", F.col("from_id").alias("src"), F.col("type").alias("label"), F.col("to_id").alias("dst"), split_properties(F.col("properties")).alias("props"))
-    return graph_from_frames(nodes, edges, edge_props={"rank": "string", "P580": "datetime"})
-
-
 def _tsv_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    """A labelled pattern with an edge property over the TSV tables, loaded by the rules of the native format."""
-    return match(_tsv_graph(spark, sf), "(?a:Person)-[?e:KNOWS]->(?b:Person) WHERE (?e.rank = \"preferred\") RETURN ?a, ?b", check_constants=False)
+    """A labelled pattern with an edge property over the stored graph of the TSV tables."""
+    return match(stored_graph(spark, sf), "(?a:Person)-[?e:KNOWS]->(?b:Person) WHERE (?e.rank = \"preferred\") RETURN ?a, ?b", check_constants=False)
 
 
 def _tsv_two_hops(spark: SparkSession, sf: str) -> DataFrame:
-    return match(_tsv_graph(spark, sf), "(?a:Person)-[?e:KNOWS]->(?b:Q5), (?b)-[?f:LIKES]->(?c:(Forum OR Message)) RETURN ?a, ?b, ?c", check_constants=False)
+    return match(stored_graph(spark, sf), "(?a:Person)-[?e:KNOWS]->(?b:Q5), (?b)-[?f:LIKES]->(?c:(Forum OR Message)) RETURN ?a, ?b, ?c", check_constants=False)
+
+
+def _social(pattern: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A pattern of the social-network benchmark over the stored graph; it is counted, as the benchmark does."""
+    return lambda spark, sf: match(stored_graph(spark, sf), pattern, check_constants=False).agg(F.count(F.lit(1)).alias("n_results"))
 
 
 _NODES = "(SELECT variable, list_distinct(flatten(list(string_split(coalesce(labels, ''), ':')))) AS labels FROM nodes_tsv WHERE variable IS NOT NULL GROUP BY variable)"
@@ -175,6 +171,42 @@ def _dictionary(pick: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
 
 
 _DICT = "(SELECT 'P' || p_partkey AS id, row_number() OVER (ORDER BY 'P' || p_partkey) AS node_id FROM part)"
+
+
+def _social_sql(edges: list[tuple[str, str, str]], labels: dict[str, str], where: str = "true") -> str:
+    """Count of the rows where edges ``(source, type, target)`` and node labels hold together."""
+    parts, seen = [], {}
+    for i, (s, t, o) in enumerate(edges):
+        on = [f"e{i}.type = '{t}'"]
+        for v, c in ((s, "from_id"), (o, "to_id")):
+            if v in seen:
+                on.append(f"e{i}.{c} = {seen[v]}")
+            seen.setdefault(v, f"e{i}.{c}")
+        parts.append(f"JOIN e e{i} ON {' AND '.join(on)}" if i else f"FROM e e{i}")
+    tests = [f"{seen[v]} IN (SELECT variable FROM n WHERE list_contains(labels, '{x}'))" for v, x in labels.items()]
+    known = [f"{c} IN (SELECT variable FROM n)" for v, c in seen.items() if v not in labels]
+    for v in seen:
+        where = where.replace(f"?{v}", seen[v])
+    return f"WITH n AS MATERIALIZED {_NODES}, e AS (SELECT * FROM edges_tsv) SELECT count(*) AS n_results {' '.join(parts)} WHERE e0.type = '{edges[0][1]}' AND {' AND '.join([*tests, *known, where])}"
+
+
+#: The six benchmark questions over a social network: edges, labels and a condition.
+_BENCHMARK: dict[str, tuple[list[tuple[str, str, str]], dict[str, str], str]] = {
+    "social_q1": ([("town", "IS_PART_OF", "land"), ("man", "IS_LOCATED_IN", "town"), ("forum", "HAS_MEMBER", "man"), ("forum", "CONTAINER_OF", "post"), ("reply", "REPLY_OF", "post"), ("reply", "HAS_TAG", "tag"), ("tag", "HAS_TYPE", "kind")], {"town": "City", "man": "Person", "forum": "Forum", "post": "Post", "reply": "Comment", "tag": "Tag"}, ""),
+    "social_q2": ([("x", "KNOWS", "y"), ("reply", "HAS_CREATOR", "x"), ("reply", "REPLY_OF", "post"), ("post", "HAS_CREATOR", "y")], {"x": "Person", "y": "Person", "reply": "Comment", "post": "Post"}, ""),
+    "social_q3": ([("x", "KNOWS", "y"), ("y", "KNOWS", "z"), ("z", "KNOWS", "x")], {"x": "Person", "y": "Person", "z": "Person"}, ""),
+    "social_q4": ([("m", "HAS_TAG", "tag"), ("m", "HAS_CREATOR", "maker"), ("fan", "LIKES", "m"), ("reply", "REPLY_OF", "m")], {"m": "Message", "reply": "Comment"}, ""),
+    "social_q5": ([("m", "HAS_TAG", "one"), ("reply", "REPLY_OF", "m"), ("reply", "HAS_TAG", "two")], {"m": "Message"}, "?one != ?two"),
+    "social_q6": ([("x", "KNOWS", "y"), ("y", "KNOWS", "z"), ("z", "HAS_TAG", "tag")], {"x": "Person", "y": "Person"}, "?x != ?z"),
+}
+
+
+def _pattern_of(edges: list[tuple[str, str, str]], labels: dict[str, str], where: str) -> str:
+    node = lambda v: f"(?{v}{':' + labels[v] if v in labels else ''})"
+    text = ", ".join(f"{node(s)}-[?e{i}:{t}]->{node(o)}" for i, (s, t, o) in enumerate(edges))
+    return f"{text} WHERE ({where}) RETURN ?{edges[0][0]}" if where else f"{text} RETURN ?{edges[0][0]}"
+
+
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "match_count": (_match_count, f"SELECT count(*) AS n_results FROM ({_LOCAL_SQL})"),
     "clean_graph": (
@@ -193,6 +225,7 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         JOIN edges_tsv f ON f.from_id = b.variable JOIN {_NODES} c ON c.variable = f.to_id
         WHERE e.type = 'KNOWS' AND f.type = 'LIKES' AND list_contains(a.labels, 'Person') AND list_contains(b.labels, 'Q5') AND (list_contains(c.labels, 'Forum') OR list_contains(c.labels, 'Message'))""",
     ),
+    **{k: (_social(_pattern_of(*q)), _social_sql(q[0], q[1], q[2] or "true")) for k, q in _BENCHMARK.items()},
     "dict_build": (_dictionary(lambda d: d), f"SELECT * FROM {_DICT}"),
     "dict_locate": (_dictionary(lambda d: dictionary.locate(d, "P77")), f"SELECT * FROM {_DICT} WHERE id = 'P77'"),
     "dict_extract": (_dictionary(lambda d: dictionary.extract(d, 12)), f"SELECT * FROM {_DICT} WHERE node_id = 12"),

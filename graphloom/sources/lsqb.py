@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Node files with the labels of their rows; edge files with type, source type and target type.
+# Fixed values, all of the data set: node files with the labels of their rows; edge files of each type, named
+# after source type, type and target type.
 NODE_FILES = {
     **{kind: (kind,) for kind in ("Continent", "Country", "City", "University", "Company", "TagClass", "Tag", "Forum", "Person")},
     "Comment": ("Message", "Comment"),
@@ -35,17 +36,17 @@ EDGE_FILES = {
 }
 
 
-def read_lsqb(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Node and edge rows of all files of the folder."""
+def read_lsqb(spark: SparkSession, folder: str, *, node_path: str = "{}.csv", edge_path: str = "{}.csv") -> tuple[DataFrame, DataFrame]:
+    """Node and edge rows of all files of the folder; the paths say where in it the file of a name lies."""
     no_props = F.create_map().cast("map<string,string>").alias("props")
 
-    def rows(name: str, columns: str) -> DataFrame:
-        return spark.read.schema(columns).option("sep", "|").option("header", True).option("enforceSchema", True).csv(f"{folder}/{name}.csv")
+    def rows(path: str, columns: str) -> DataFrame:
+        return spark.read.schema(columns).option("sep", "|").option("header", True).option("enforceSchema", True).csv(f"{folder}/{path}")
 
-    nodes = [rows(kind, "id string").select(F.concat(F.lit(f"{kind}_"), "id").alias("id"), F.array(*[F.lit(x) for x in labels]).alias("labels"), no_props) for kind, labels in NODE_FILES.items()]
+    nodes = [rows(node_path.format(kind), "id string").select(F.concat(F.lit(f"{kind}_"), "id").alias("id"), F.array(*[F.lit(x) for x in labels]).alias("labels"), no_props) for kind, labels in NODE_FILES.items()]
     edges = []
     for kind, files in EDGE_FILES.items():
         for name in files:
             source, _, target = name.split("_")[:3]
-            edges.append(rows(name, "src string, dst string").select(F.concat(F.lit(f"{source}_"), "src").alias("src"), F.lit(kind).alias("label"), F.concat(F.lit(f"{target}_"), "dst").alias("dst"), no_props))
+            edges.append(rows(edge_path.format(name), "src string, dst string").select(F.concat(F.lit(f"{source}_"), "src").alias("src"), F.lit(kind).alias("label"), F.concat(F.lit(f"{target}_"), "dst").alias("dst"), no_props))
     return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)

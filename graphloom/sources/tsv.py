@@ -42,7 +42,7 @@ def split_properties(text: Column) -> Column:
 
 def parse_node_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     field = F.split(F.col(line), "\t")
-    labels = F.filter(F.transform(F.split(F.coalesce(F.try_element_at(field, F.lit(2)), F.lit("")), ":"), F.trim), lambda x: x != "")
+    labels = F.filter(F.transform(F.split(F.coalesce(F.try_element_at(field, F.lit(2)), F.lit("")), ":"), lambda x: F.trim(x)), lambda x: x != "")
     rest = F.slice(field, 3, F.greatest(F.size(field) - 2, F.lit(0)))
     return lines.select(F.trim(field[0]).alias("id"), labels.alias("labels"), _pairs(rest).alias("props")).filter("id != ''")
 

@@ -5,10 +5,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from graphloom import core_oracle, core_queries, graph_queries
+from graphloom import core_oracle, core_queries, graph_queries, io_queries
 
-CORE = {**core_oracle.ORACLE, **graph_queries.ORACLE}
-QUERIES = {**core_queries.QUERIES, **graph_queries.QUERIES}
+CORE = {**core_oracle.ORACLE, **graph_queries.ORACLE, **io_queries.ORACLE}
+QUERIES = {**core_queries.QUERIES, **graph_queries.QUERIES, **io_queries.QUERIES}
 
 
 @pytest.fixture(scope="module")

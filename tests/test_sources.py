@@ -25,6 +25,8 @@ def test_tsv_lines(spark, prefix):
     assert got["a"] == (["Person", "Staff"], {"name": '"Ann"', "born": "1960", "at": "+1964-09-02T00:00:00Z"})
     assert got["c"] == ([], {"born": "1980"})
     assert edges.count() == 6
+    line = spark.createDataFrame([("x\t:Q101: 0A0 :1\t1k:1v1",)], "value string")
+    assert tuple(tsv.parse_node_lines(line).head()) == ("x", ["Q101", "0A0", "1"], {"1k": "1v1"})
 
 
 def test_load_clean_and_write(spark, prefix):
