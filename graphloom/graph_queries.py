@@ -22,7 +22,7 @@ class PatternQuery:
     sql: str
     mode: str = "interleaved"
     edge_semantics: str = "homomorphism"
-    strategy: str = "pairwise"
+    strategy: str = "auto"
 
     def __call__(self, spark: SparkSession, sf: str) -> DataFrame:
         return match(graph_from_tables(spark, sf), self.pattern, mode=self.mode, edge_semantics=self.edge_semantics, strategy=self.strategy)

@@ -157,6 +157,11 @@ def elimination_order(edge_sets: Sequence[EdgeSet]) -> list[str]:
     return order
 
 
+def cells_of(edge_sets: Sequence[EdgeSet], cores: int) -> int:
+    """As many cells as keep about ``CELL_ROWS`` rows in each, and one for each core at least."""
+    return max(cores, int(sum(r.rows for r in edge_sets) / CELL_ROWS * 4) + 1)
+
+
 def multiway_join(edge_sets: Sequence[EdgeSet], *, cells: int | None = None) -> DataFrame:
     """All bindings of connected edge sets: a column for each node variable and each edge variable.
 
@@ -167,7 +172,7 @@ def multiway_join(edge_sets: Sequence[EdgeSet], *, cells: int | None = None) ->
         raise ValueError("one variable at both ends of an edge")
     order = elimination_order(edge_sets)
     context = edge_sets[0].df.sparkSession.sparkContext
-    cells = cells or max(context.defaultParallelism, int(sum(r.rows for r in edge_sets) / CELL_ROWS * 4) + 1)
+    cells = cells or cells_of(edge_sets, context.defaultParallelism)
     share = shares_of(edge_sets, order, cells)
     stride, total = {}, 1
     for v in order:

@@ -11,13 +11,14 @@ import threading
 from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import combinations
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.errors import GraphQueryError, QueryTimeout
 from graphloom.functions.ordinal import as_timestamp, ordinal_of, ordinal_of_text, ordinal_of_timestamp, text_of_ordinal
-from graphloom.operators.multiway import EdgeSet, multiway_join
+from graphloom.operators.multiway import EdgeSet, cells_of, elimination_order, multiway_join, shares_of
 from graphloom.plans.ast import And, Compare, LabelAnd, Literal, Name, NullTest, Or, Prop, Query, Return, Triple, Var, comparisons, conjuncts, holds, variables_of
 from graphloom.plans.binder import check
 from graphloom.plans.graph import EdgeSource, PropertyGraph
@@ -26,7 +27,9 @@ from graphloom.session import fresh_name
 
 MODES = ("interleaved", "prefilter", "postfilter")
 EDGE_SEMANTICS = ("homomorphism", "distinct")
-STRATEGIES = ("pairwise", "multiway")
+STRATEGIES = ("auto", "pairwise", "multiway")
+#: ``auto`` joins a cycle in one shuffle where pair by pair there would be so many times more intermediate rows than rows sent.
+MULTIWAY_FACTOR = 30
 #: Up to so many relations all join trees are weighed, beyond that the order is greedy.
 BUSHY = 10
 #: Weight of a join without a shared variable.
@@ -47,7 +50,7 @@ class _Relation:
 class Plan:
     """One query over one graph."""
 
-    def __init__(self, query: Query, graph: PropertyGraph, mode: str = "interleaved", edge_semantics: str = "homomorphism", strategy: str = "pairwise"):
+    def __init__(self, query: Query, graph: PropertyGraph, mode: str = "interleaved", edge_semantics: str = "homomorphism", strategy: str = "auto"):
         if strategy not in STRATEGIES:
             raise ValueError(f"strategy is one of {STRATEGIES}")
         if mode not in MODES:
@@ -349,7 +352,7 @@ class Plan:
         return out if bound_l & bound_r else out * CROSS
 
     def _order(self, relations: list[_Relation]):
-        """A join tree: a relation's number, or a pair of trees.
+        """A join tree - a relation's number, or a pair of trees - and the estimated rows of all its results.
 
         Of few relations all trees are weighed, bushy ones too, which keeps the intermediate results of
         cyclic patterns small; of more a greedy chain is taken.
@@ -370,18 +373,21 @@ class Plan:
                             pair = (tree_l, tree_r) if rows_l >= rows_r else (tree_r, tree_l)
                             best[mask] = (cost, rows, bound_l | bound_r, pair)
                     part = (part - 1) & mask
-            return best[(1 << n) - 1][3]
+            cost, rows, _, tree = best[(1 << n) - 1]
+            return tree, cost - rows
         left = set(range(n))
         tree = min(left, key=lambda i: relations[i].rows)
         left.discard(tree)
         rows, bound = relations[tree].rows, relations[tree].variables
+        cost = rows
         while left:
             pick = min(left, key=lambda i: (not relations[i].variables <= bound, not relations[i].variables & bound, self._joined(rows, bound, relations[i].rows, relations[i].variables)))
             rows = self._joined(rows, bound, relations[pick].rows, relations[pick].variables)
+            cost += rows if len(left) > 1 else 0
             bound |= relations[pick].variables
             tree = (tree, pick)
             left.discard(pick)
-        return tree
+        return tree, cost
 
     def _edge_conditions(self) -> list[tuple[frozenset[str], Column]]:
         """Edge variables whose types overlap bind different edges; needs two columns each."""
@@ -416,8 +422,12 @@ class Plan:
             waiting = [(self._needs(c), self.condition(c)) for c in conjuncts(self.query.where) if not any(c is d for d in done)]
         waiting += self._edge_conditions()
 
+        tree, cost = self._order(relations)
+        if self.strategy == "auto" and cost > MULTIWAY_FACTOR * self._rows_sent(relations):
+            return Plan(self.query, self.graph, self.mode, "distinct" if self.distinct else "homomorphism", "multiway").dataframe()
         if self.strategy == "multiway":
             relations = self._with_core(relations, edge_count)
+            tree, _ = self._order(relations)
 
         def build(tree) -> tuple[DataFrame, frozenset[str], frozenset[int]]:
             """The joined rows, their variables and which of the waiting conditions they already satisfy."""
@@ -444,18 +454,14 @@ class Plan:
                     out, done = out.filter(condition), done | {i}
             return out, bound, done
 
-        out, _, _ = build(self._order(relations))
+        out, _, _ = build(tree)
         if self.mode == "postfilter":
             for c in conjuncts(self.query.where):
                 out = out.filter(self.condition(c))
         return self._output(out)
 
-    def _with_core(self, relations: list[_Relation], edge_count: int) -> list[_Relation]:
-        """The relations with the edges between node variables of a cyclic pattern joined to one.
-
-        Node conditions and labels reduce those edges first; node tables join again afterwards where their
-        properties are asked for.  Patterns without such a cycle are left as they are.
-        """
+    def _core(self) -> list[int]:
+        """The triples between node variables that lie on cycles; none if there is no cycle of three edges."""
         picked = [i for i, t in enumerate(self.query.triples) if t.src.var and t.dst.var]
         while True:  # an end that only one edge touches closes no cycle
             ends = [v for i in picked for v in (self.query.triples[i].src.var, self.query.triples[i].dst.var)]
@@ -464,8 +470,29 @@ class Plan:
                 break
             picked = kept
         named = [self.query.triples[i].edge.var for i in picked if self.query.triples[i].edge.var]
-        if len(picked) < 3 or len(set(named)) < len(named):
-            return relations
+        return [] if len(picked) < 3 or len(set(named)) < len(named) else picked
+
+    def _rows_sent(self, relations: list[_Relation]) -> float:
+        """Estimated rows that the multiway join of the core would send; infinite if it is no choice."""
+        sets = [EdgeSet(None, self.column[self.query.triples[i].src.var], self.column[self.query.triples[i].dst.var], None, relations[i].rows) for i in self._core()]
+        if not sets:
+            return float("inf")
+        try:
+            order = elimination_order(sets)
+        except ValueError:  # two cycles without a common variable
+            return float("inf")
+        share = shares_of(sets, order, cells_of(sets, self.graph.spark.sparkContext.defaultParallelism))
+        return sum(r.rows * prod(n for v, n in share.items() if v not in (r.src, r.dst)) for r in sets)
+
+    def _with_core(self, relations: list[_Relation], edge_count: int) -> list[_Relation]:
+        """The relations with the edges between node variables of a cyclic pattern joined to one.
+
+        Node conditions and labels reduce those edges first; node tables join again afterwards where their
+        properties are asked for.  Patterns without such a cycle are refused.
+        """
+        picked = self._core()
+        if not picked:
+            raise GraphQueryError("the multiway strategy needs a cycle of three edges whose edge variables differ")
         sets, spare = [], []
         for i in picked:
             t, r = self.query.triples[i], relations[i]
@@ -481,8 +508,8 @@ class Plan:
                 spare.append(replace(r, df=r.df.drop(s, o), variables=frozenset({t.edge.var})))
         try:
             df = multiway_join(sets)
-        except ValueError:  # two cycles without a common variable
-            return relations
+        except ValueError as error:
+            raise GraphQueryError("the multiway strategy needs cycles that hang together") from error
         variables = frozenset(v for i in picked for v in relations[i].variables)
         core = _Relation(df, variables, min(r.rows for r in (relations[i] for i in picked)), single=True)
         nodes = [r for r in relations[edge_count:] if not (r.exists and r.variables <= variables)]
@@ -515,14 +542,14 @@ class Plan:
         return df if self.query.limit is None else df.limit(self.query.limit)
 
 
-def match(graph: PropertyGraph, query: str | Query, *, mode: str = "interleaved", edge_semantics: str = "homomorphism", strategy: str = "pairwise", limit: int | None = None, check_constants: bool = True) -> DataFrame:
+def match(graph: PropertyGraph, query: str | Query, *, mode: str = "interleaved", edge_semantics: str = "homomorphism", strategy: str = "auto", limit: int | None = None, check_constants: bool = True) -> DataFrame:
     """The bindings of a pattern as a lazy DataFrame, one row for each assignment of all variables.
 
     Columns: the RETURN items, or all variables in order of first appearance; a node is its id, an edge
     its number.  ``mode`` places the filters: among the joins, as semi-join reducers before them, or after
-    them.  ``strategy='multiway'`` joins the edges of a cycle in one shuffle instead of pair by pair, for cycles
-    whose pairs are far more than their closings; patterns without a cycle of three edges, with an edge variable
-    used twice, or of two cycles apart are joined pair by pair.  ``edge_semantics='distinct'`` keeps different edge variables on different edges.  ``limit`` takes
+    them.  ``strategy``: ``pairwise`` joins relation by relation; ``multiway`` joins the edges of a cycle in one shuffle,
+    for cycles whose pairs are far more than their closings, and refuses patterns without a cycle of three edges,
+    with an edge variable used twice there, or of two cycles apart; ``auto`` picks by estimated rows.  ``edge_semantics='distinct'`` keeps different edge variables on different edges.  ``limit`` takes
     any so many rows.  Empty tables give no rows; a missing property fails every comparison, also ``!=``.
     """
     tree = parse(query) if isinstance(query, str) else query

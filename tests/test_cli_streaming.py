@@ -1,6 +1,6 @@
 from graphloom import cli
 from graphloom.sources import tsv
-from graphloom.streaming.edges import append_known_edges
+from graphloom.streaming.edges import append_known_edges, read_edges, write_batch
 
 NODES = "a\t:X\tv:1\nb\t:Y\nc\t:X\tv:3\n"
 EDGES = "a\tT\tb\na\tT\tc\nc\tU\ta\n"
@@ -46,6 +46,13 @@ def test_arriving_edges(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i, lines in enumerate((EDGES, "a\tT\tgone\nb\tU\tc\tk:v\n")):
         (tmp_path / "in" / f"{i}.txt").write_text(lines)
-        append_known_edges(spark, str(tmp_path / "in"), nodes, str(tmp_path / "edges"), str(tmp_path / "cp")).awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "edges"))
+        append_known_edges(spark, str(tmp_path / "in"), nodes, str(tmp_path / "edges"), str(tmp_path / "cp"), str(tmp_path / "late")).awaitTermination()
+    target, late = str(tmp_path / "edges"), str(tmp_path / "late")
+    rows = read_edges(spark, target)
     assert rows.count() == 4 and rows.filter("label = 'U'").count() == 2
+    _, again = tsv.read_tsv(spark, str(tmp_path / "g"))
+    write_batch(again, 0, nodes, target, late)  # a batch that is tried again adds nothing
+    assert read_edges(spark, target).count() == 4
+    more = nodes.select("id").union(spark.createDataFrame([("gone",)], "id string"))
+    found = read_edges(spark, target, late, more)
+    assert found.count() == 5 and found.filter("dst = 'gone'").head()["src"] == "a" and read_edges(spark, target, late, nodes).count() == 4

@@ -112,14 +112,26 @@ def test_modes_and_edge_semantics_agree(graphs, pattern):
         "(?a:A)-[?e]->(?b), (?b)-[?f]->(?c), (?c)-[]->(?a) WHERE (?e.w <= ?f.w) AND ((?a.x > 0) OR (?b.y > 1.0)) AND (?a < ?c)",
         "(?a)-[:T]->(?p), (?b)-[:T]->(?p), (?a)-[:U]->(?q), (?b)-[:U]->(?q), (?q)-[?g:V]->(?z) WHERE (?a != ?b)",
         "(?a)-[?e:T]->(?b), (?a)-[?f]->(?b), (?b)-[:(U OR V)]->(?a)",
-        "(?a)-[?e]->(?b), (?b)-[?f]->(?c)",
     ],
 )
 def test_multiway_strategy(graphs, pattern):
     for nodes, edges, graph in graphs:
         rows = sorted((tuple(r) for r in match(graph, pattern, strategy="multiway").collect()), key=repr)
         assert rows == evaluate(parse(pattern), nodes, edges)
-        assert ("FlatMapGroupsInArrow" in match(graph, pattern, strategy="multiway")._jdf.queryExecution().toString()) == (pattern.count("->") > 2)
+
+
+def test_strategies_are_refused_or_picked_by_estimate(graphs, monkeypatch):
+    from graphloom.plans import planner
+
+    graph = graphs[0][2]
+    cycle, chain = "(?a)-[?e]->(?b), (?b)-[?f]->(?c), (?c)-[?g]->(?a) RETURN ?a, ?b, ?c", "(?a)-[?e]->(?b), (?b)-[?f]->(?c)"
+    with pytest.raises(GraphQueryError):
+        match(graph, chain, strategy="multiway")
+    in_cells = lambda text: "FlatMapGroupsInArrow" in match(graph, text)._jdf.queryExecution().toString()
+    assert not in_cells(cycle) and not in_cells(chain)
+    monkeypatch.setattr(planner, "MULTIWAY_FACTOR", 0)
+    assert in_cells(cycle) and not in_cells(chain)
+    assert sorted(map(tuple, match(graph, cycle).collect())) == sorted(map(tuple, match(graph, cycle, strategy="pairwise").collect()))
 
 
 def test_random_patterns(graphs):
