@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import dictionary
 from graphloom.io_queries import stored_graph
 from graphloom.plans.planner import match
-from graphloom.sources.tables import graph_from_tables
+from graphloom.sources.tables import opened_graph
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,7 @@ class PatternQuery:
     strategy: str = "auto"
 
     def __call__(self, spark: SparkSession, sf: str) -> DataFrame:
-        return match(graph_from_tables(spark, sf), self.pattern, mode=self.mode, edge_semantics=self.edge_semantics, strategy=self.strategy)
+        return match(opened_graph(spark, sf), self.pattern, mode=self.mode, edge_semantics=self.edge_semantics, strategy=self.strategy)
 
 
 LOCAL_SUPPLIER = "(?c:Customer)-[?e1:IN_NATION]->(?n:Nation), (?s:Supplier)-[?e2:IN_NATION]->(?n:Nation), (?c:Customer)-[?e3:PLACED]->(?o:Order), (?o:Order)-[?e4:SHIPPED_BY]->(?s:Supplier)"
@@ -141,7 +141,7 @@ def _graph_cleaned(spark: SparkSession, sf: str) -> DataFrame:
 
 def _match_count(spark: SparkSession, sf: str) -> DataFrame:
     """The number of bindings of the flagship pattern."""
-    return match(graph_from_tables(spark, sf), LOCAL_SUPPLIER).agg(F.count(F.lit(1)).alias("n_results"))
+    return match(opened_graph(spark, sf), LOCAL_SUPPLIER).agg(F.count(F.lit(1)).alias("n_results"))
 
 
 def _tsv_pattern(spark: SparkSession, sf: str) -> DataFrame:

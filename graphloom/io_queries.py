@@ -18,11 +18,12 @@ from graphloom.cli import converse, run_batch
 from graphloom.errors import GraphQueryError
 from graphloom.functions import dictionary
 from graphloom.plans.emit import to_cypher, to_mql, to_pattern
+from graphloom.plans.graph import PropertyGraph
 from graphloom.plans.parser import parse, read_queries
 from graphloom.plans.planner import match
 from graphloom.session import shared_folder
 from graphloom.sources import cypher, export, lsqb, store, tsv, wikidata
-from graphloom.sources.tables import graph_from_tables
+from graphloom.sources.tables import opened_graph
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -46,15 +47,15 @@ def _edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @lru_cache(maxsize=8)
-def _stored(application: str, spark: SparkSession, sf: str) -> str:
+def _stored(application: str, spark: SparkSession, sf: str) -> PropertyGraph:
     path = _folder(spark, "store")
     store.build(_nodes(spark, sf), _edges(spark, sf), path)
-    return path
+    return store.load(spark, path)
 
 
-def stored_graph(spark: SparkSession, sf: str):
+def stored_graph(spark: SparkSession, sf: str) -> PropertyGraph:
     """The graph of the TSV tables, built once for an application and folder, as an index is, and opened from there."""
-    return store.load(spark, _stored(spark.sparkContext.applicationId, spark, sf))
+    return _stored(spark.sparkContext.applicationId, spark, sf)
 
 
 # import
@@ -209,7 +210,7 @@ def query_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def refused_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Queries that say what may not be said, refused before any join."""
-    graph, out = graph_from_tables(spark, sf), []
+    graph, out = opened_graph(spark, sf), []
     for number, text in enumerate(_BAD):
         try:
             match(graph, text)
@@ -244,14 +245,14 @@ def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
         path = os.path.join(folder, "queries.txt")
         with open(path, "w", encoding="utf-8") as out:
             out.write("\n".join(texts))
-        rows = list(run_batch(graph_from_tables(spark, sf), read_queries(path), limit=1000, timeout=600.0, repeat=2, complain=lambda text: None))
+        rows = list(run_batch(opened_graph(spark, sf), read_queries(path), limit=1000, timeout=600.0, repeat=2, complain=lambda text: None))
     return spark.createDataFrame([(number, count) for number, count, _ in rows], "number long, n_results long")
 
 
 def asked_query(spark: SparkSession, sf: str) -> DataFrame:
     """A query asked in the interactive mode, as its answer is written."""
     path = _folder(spark, "asked")
-    converse(graph_from_tables(spark, sf), ["(?n)-[:IN_REGION]->(?r) RETURN ?n, ?r, ?n.name AS name", "exit", "(?x"], say=lambda text: None, out=path)
+    converse(opened_graph(spark, sf), ["(?n)-[:IN_REGION]->(?r) RETURN ?n, ?r, ?n.name AS name", "exit", "(?x"], say=lambda text: None, out=path)
     return spark.read.schema("n string, r string, name string").option("sep", "\t").option("header", True).csv(f"{path}/0")
 
 

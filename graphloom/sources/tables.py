@@ -60,6 +60,16 @@ _EDGES = (
 )
 
 
+@lru_cache(maxsize=8)
+def _opened(application: str, spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    return graph_from_tables(spark, sf_dir)
+
+
+def opened_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The graph of the tables in a folder, opened once for an application and asked many times; the tables stay as they are."""
+    return _opened(spark.sparkContext.applicationId, spark, sf_dir)
+
+
 def graph_from_tables(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """The graph of the tables in a folder; a table is opened when a query first touches it."""
 

@@ -66,7 +66,7 @@ def test_table_of_several_files_is_joined_in_one_shuffle(spark, sf, tmp_path, mo
             spark.read.parquet(str(file)).repartition(3).write.parquet(str(tmp_path / file.name))
         else:
             (tmp_path / file.name).symlink_to(file)
-    one, three = (graph_queries.graph_from_tables(spark, str(d)) for d in (sf, tmp_path))
+    one, three = (graph_queries.opened_graph(spark, str(d)) for d in (sf, tmp_path))
     named = [planner.match(g, "(?o)-[?e:CONTAINS]->(?p)") for g in (one, three)]
     assert named[0].dtypes == named[1].dtypes and dict(named[1].dtypes)["e"] == "bigint"
     assert named[1].select("e").distinct().count() == named[1].count() == named[0].count()
