@@ -195,11 +195,12 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: st
     out = filled.groupBy("source").agg(F.min(F.when(~F.col("taken") & (F.col("copies") < most), F.col("n_tokens"))).alias("smallest_out"))
     asked = spark.createDataFrame([(k, v * size) for k, v in quota.items()], "source string, quota_tokens long")
     reached = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
+    reached = reached.withColumn("actual_share", F.col("mixed_tokens") / F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1))))  # one row a target
     available = sizes.filter(F.col("source").isNotNull()).groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     table = spark.createDataFrame(wanted, "source string, target_share double, max_repeats int")
     report = table.join(available, "source", "full").join(reached, "source", "left").join(asked, "source", "left").join(out, "source", "left").fillna(0, ["available_tokens", "mixed_tokens", "quota_tokens"])
     left_over = F.col("quota_tokens") - F.col("mixed_tokens")
     report = report.withColumn("filled", (left_over >= 0) & ((left_over == 0) | F.col("smallest_out").isNull() | (left_over < F.col("smallest_out"))))
-    whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))  # one row a source
-    report = report.select("source", "target_share", "max_repeats", "available_tokens", "quota_tokens", "mixed_tokens", F.when(whole > 0, F.col("mixed_tokens") / whole).alias("actual_share"), "filled")
+    any_mixed = F.lit(bool(quota) and any(quota.values()))
+    report = report.select("source", "target_share", "max_repeats", "available_tokens", "quota_tokens", "mixed_tokens", F.when(any_mixed, F.coalesce("actual_share", F.lit(0.0))).alias("actual_share"), "filled")
     return mixed, report
