@@ -153,6 +153,16 @@ def _tsv_two_hops(spark: SparkSession, sf: str) -> DataFrame:
     return match(stored_graph(spark, sf), "(?a:Person)-[?e:KNOWS]->(?b:Q5), (?b)-[?f:LIKES]->(?c:(Forum OR Message)) RETURN ?a, ?b, ?c", check_constants=False)
 
 
+#: Closed wedges; one node has a tenth of all edges.
+_CLOSED = "(?x)-[:KNOWS]->(?y), (?y)-[:KNOWS]->(?z), (?x)-[:KNOWS]->(?z) RETURN ?x, ?y, ?z"
+_CLOSED_SQL = """WITH k AS (SELECT DISTINCT from_id AS s, to_id AS o FROM edges_tsv WHERE type = 'KNOWS' AND from_id IN (SELECT variable FROM nodes_tsv) AND to_id IN (SELECT variable FROM nodes_tsv))
+        SELECT a.s AS x, a.o AS y, b.o AS z FROM k a JOIN k b ON b.s = a.o JOIN k c ON c.s = a.s AND c.o = b.o"""
+
+
+def _closed(strategy: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: match(stored_graph(spark, sf), _CLOSED, strategy=strategy, check_constants=False)
+
+
 def _social(pattern: str) -> Callable[[SparkSession, str], DataFrame]:
     """A pattern of the social-network benchmark over the stored graph; it is counted, as the benchmark does."""
     return lambda spark, sf: match(stored_graph(spark, sf), pattern, check_constants=False).agg(F.count(F.lit(1)).alias("n_results"))
@@ -226,6 +236,8 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         WHERE e.type = 'KNOWS' AND f.type = 'LIKES' AND list_contains(a.labels, 'Person') AND list_contains(b.labels, 'Q5') AND (list_contains(c.labels, 'Forum') OR list_contains(c.labels, 'Message'))""",
     ),
     **{k: (_social(_pattern_of(*q)), _social_sql(q[0], q[1], q[2] or "true")) for k, q in _BENCHMARK.items()},
+    "closed_wedges": (_closed("auto"), _CLOSED_SQL),
+    "closed_wedges_multiway": (_closed("multiway"), _CLOSED_SQL),
     "dict_build": (_dictionary(lambda d: d), f"SELECT * FROM {_DICT}"),
     "dict_locate": (_dictionary(lambda d: dictionary.locate(d, "P77")), f"SELECT * FROM {_DICT} WHERE id = 'P77'"),
     "dict_extract": (_dictionary(lambda d: dictionary.extract(d, 12)), f"SELECT * FROM {_DICT} WHERE node_id = 12"),

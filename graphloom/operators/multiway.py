@@ -19,7 +19,7 @@ from math import prod
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,6 +162,18 @@ def cells_of(edge_sets: Sequence[EdgeSet], cores: int) -> int:
     return max(cores, int(sum(r.rows for r in edge_sets) / CELL_ROWS * 4) + 1)
 
 
+def _labels(spark: SparkSession, cells: int) -> list[int]:
+    """A number for each cell such that hashing sends no two of them to the same of ``cells`` tasks."""
+    found: dict[int, int] = {}
+    first, size = 0, 16 * cells
+    while len(found) < cells:
+        tried = spark.range(first, first + size, 1, 1).select(F.col("id").cast("int").alias("id"))
+        for row in tried.groupBy(F.pmod(F.hash("id"), F.lit(cells)).alias("task")).agg(F.min("id").alias("id")).collect():  # one row a cell
+            found.setdefault(row[0], row[1])
+        first, size = first + size, 2 * size
+    return [found[task] for task in range(cells)]
+
+
 def multiway_join(edge_sets: Sequence[EdgeSet], *, cells: int | None = None) -> DataFrame:
     """All bindings of connected edge sets: a column for each node variable and each edge variable.
 
@@ -178,6 +190,7 @@ def multiway_join(edge_sets: Sequence[EdgeSet], *, cells: int | None = None) ->
     for v in order:
         stride[v] = total
         total *= share[v]
+    labels = F.lit(_labels(edge_sets[0].df.sparkSession, total))
 
     kind = edge_sets[0].df.schema["s"].dataType
     edge_kinds = {r.edge: r.df.schema["e"].dataType for r in edge_sets if r.edge}
@@ -237,5 +250,6 @@ def multiway_join(edge_sets: Sequence[EdgeSet], *, cells: int | None = None) ->
                 columns = [coded.dictionary.take(pa.array(bound[v][rows[part]])) for v in order] + [texts.dictionary.take(pa.array(a[part])) if wide else pa.array(a[part]) for a in attached]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    joined = parts.groupBy("cell").applyInArrow(run, struct)
+    # one task a cell: its label decides the task, and a stated number of partitions is not coalesced
+    joined = parts.withColumn("cell", F.get(labels, F.col("cell"))).repartition(total, "cell").groupBy("cell").applyInArrow(run, struct)
     return joined.withColumns({e: F.col(f"`{e}`").cast(k) for e, k in edge_kinds.items()}) if wide else joined

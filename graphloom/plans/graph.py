@@ -110,6 +110,8 @@ class EdgeSource:
     props: dict[str, tuple[Column, str]] = field(default_factory=dict)
     known_rows: dict[str, float] | None = None
     simple: bool = False
+    #: for ``src`` and ``dst`` the sum of squared degrees of each type, where it is known
+    squares: dict[str, dict[str, float]] | None = None
 
     @cached_property
     def df(self) -> DataFrame:

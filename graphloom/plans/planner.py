@@ -8,7 +8,7 @@ left out, and in which order to join.  Predicates, columns and join algorithms a
 from __future__ import annotations
 
 import threading
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import combinations
 from math import prod
@@ -45,6 +45,7 @@ class _Relation:
     exists: bool = False  # only tells whether its variables' values go together
     node: bool = False
     single: bool = False  # its rows are distinct as they are
+    squares: dict[str, float] = field(default_factory=dict)  # of its node variables, the sum of squared numbers of rows a node
 
 
 class Plan:
@@ -297,7 +298,12 @@ class Plan:
         apart = all(not (a.src_nodes & b.src_nodes and a.dst_nodes & b.dst_nodes) for (a, _), (b, _) in combinations(sources, 2))
         ends = all(end.var or end.const for end in (t.src, t.dst))
         single = ends and apart and all(s.simple and len(types) == 1 for s, types in sources)
-        return _Relation(df, variables, max(rows, 1.0), exists=e is None, single=single)
+        every = sum(s.rows.get(x, 1.0) for s, types in sources for x in types)
+        squares = {}
+        for end, name in ((t.src, "src"), (t.dst, "dst")):
+            if end.var and all(s.squares for s, _ in sources):
+                squares[end.var] = sum(s.squares[name].get(x, 1.0) for s, types in sources for x in types) * min(1.0, rows / max(every, 1.0)) ** 2
+        return _Relation(df, variables, max(rows, 1.0), exists=e is None, single=single, squares=squares)
 
     def _type(self, var: str) -> str:
         return "long" if self.graph.coded or var in self.edges else "string"
@@ -344,12 +350,21 @@ class Plan:
 
     # order
 
-    def _joined(self, rows_l: float, bound_l: frozenset[str], rows_r: float, bound_r: frozenset[str]) -> float:
-        """Estimated rows of a join: each shared variable is one of so many nodes (or edges)."""
+    def _joined(self, rows_l: float, bound_l: frozenset[str], rows_r: float, bound_r: frozenset[str], squares_l: dict[str, float] | None = None, squares_r: dict[str, float] | None = None) -> float:
+        """Estimated rows of a join: each shared variable is one of so many nodes (or edges).
+
+        Where it is known how unevenly both sides lie on a single shared node, the bound that follows from it
+        is taken if it is larger, so hubs count.
+        """
         out = rows_l * rows_r
-        for v in bound_l & bound_r:
+        shared = bound_l & bound_r
+        hubs = 0.0
+        if len(shared) == 1 and squares_l and squares_r:
+            (v,) = shared
+            hubs = (squares_l.get(v, 0.0) * squares_r.get(v, 0.0)) ** 0.5
+        for v in shared:
             out /= self._node_rows(v) if v in self.nodes else max(1.0, rows_l, rows_r)
-        return out if bound_l & bound_r else out * CROSS
+        return max(out, hubs) if shared else out * CROSS
 
     def _order(self, relations: list[_Relation]):
         """A join tree - a relation's number, or a pair of trees - and the estimated rows of all its results.
@@ -360,6 +375,7 @@ class Plan:
         n = len(relations)
         if n <= BUSHY:
             best = {1 << i: (r.rows, r.rows, r.variables, i) for i, r in enumerate(relations)}
+            squares = {1 << i: r.squares for i, r in enumerate(relations)}
             for mask in range(1, 1 << n):
                 part = (mask - 1) & mask
                 while part:
@@ -367,7 +383,7 @@ class Plan:
                     if part > rest:
                         cost_l, rows_l, bound_l, tree_l = best[part]
                         cost_r, rows_r, bound_r, tree_r = best[rest]
-                        rows = self._joined(rows_l, bound_l, rows_r, bound_r)
+                        rows = self._joined(rows_l, bound_l, rows_r, bound_r, squares.get(part), squares.get(rest))
                         cost = cost_l + cost_r + rows
                         if mask not in best or cost < best[mask][0]:
                             pair = (tree_l, tree_r) if rows_l >= rows_r else (tree_r, tree_l)

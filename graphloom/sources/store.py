@@ -38,6 +38,11 @@ def _schema(columns: str, kinds: dict[str, str]) -> str:
     return columns + "".join(f", p{i} {_SPARK[kind]}" for i, kind in enumerate(list(kinds.values())[:MOST_COLUMNS]))
 
 
+def _squares(links: DataFrame, end: str) -> dict[str, float]:
+    degrees = links.groupBy("label", end).agg(F.count(F.lit(1)).cast("double").alias("d"))
+    return {r[0]: r[1] for r in degrees.groupBy("label").agg(F.sum(F.col("d") * F.col("d"))).collect()}
+
+
 _NODES, _EDGES = "id string, labels array<string>, props map<string,string>, node_id long", "src string, dst string, props map<string,string>, edge_id long, label string"
 
 
@@ -58,6 +63,8 @@ def build(nodes: DataFrame, edges: DataFrame, path: str) -> dict:
         "nodes": stored.count(),
         "labels": sorted(names_of(stored, F.explode("labels"))),
         "types": names_of(links, F.col("label")),
+        # how unevenly edges of a type lie on their ends: the sum of squared degrees, one row a type
+        "squares": {end: _squares(links, end) for end in ("src", "dst")},
         "node_props": node_props,
         "edge_props": edge_props,
     }
@@ -74,5 +81,5 @@ def load(spark: SparkSession, path: str) -> PropertyGraph:
     table = NodeTable("Node", lambda: nodes, Identity(F.col("id")), frozenset(), _props(node_props), frozenset(catalog["labels"]), lambda label: F.array_contains("labels", label), F.col("node_id"), float(catalog["nodes"]))
     every = frozenset({"Node"})
     types = frozenset(catalog["types"])
-    source = EdgeSource("Edge", lambda: edges, lambda df: F.col("edge_id"), Identity(F.col("src")), Identity(F.col("dst")), types, every, every, F.col("label"), _props(edge_props), {k: float(v) for k, v in catalog["types"].items()})
+    source = EdgeSource("Edge", lambda: edges, lambda df: F.col("edge_id"), Identity(F.col("src")), Identity(F.col("dst")), types, every, every, F.col("label"), _props(edge_props), {k: float(v) for k, v in catalog["types"].items()}, squares=catalog.get("squares"))
     return PropertyGraph(spark, [table], [source])
