@@ -110,7 +110,7 @@ class EdgeSource:
     props: dict[str, tuple[Column, str]] = field(default_factory=dict)
     known_rows: dict[str, float] | None = None
     simple: bool = False
-    #: for ``src`` and ``dst`` the sum of squared degrees of each type, where it is known
+    #: over all nodes and for each type the sums of squared out-degrees (``src``) and in-degrees (``dst``) and of their products (``both``)
     squares: dict[str, dict[str, float]] | None = None
 
     @cached_property

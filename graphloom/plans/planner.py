@@ -37,6 +37,21 @@ CROSS = 1e6
 EQUAL_SHARE, RANGE_SHARE = 0.01, 0.3
 
 
+@dataclass(frozen=True)
+class _Hub:
+    """How unevenly edges lie on the nodes at one end: the sum of squared rows a node, and of rows at one end times the other."""
+
+    end: str
+    edges: frozenset
+    squares: float
+    both: float
+
+    def joined(self, other: _Hub) -> float:
+        if self.edges == other.edges and self.end != other.end:
+            return (self.both * other.both) ** 0.5
+        return (self.squares * other.squares) ** 0.5
+
+
 @dataclass
 class _Relation:
     df: DataFrame
@@ -45,7 +60,7 @@ class _Relation:
     exists: bool = False  # only tells whether its variables' values go together
     node: bool = False
     single: bool = False  # its rows are distinct as they are
-    squares: dict[str, float] = field(default_factory=dict)  # of its node variables, the sum of squared numbers of rows a node
+    hubs: dict[str, _Hub] = field(default_factory=dict)  # of its node variables
 
 
 class Plan:
@@ -299,11 +314,12 @@ class Plan:
         ends = all(end.var or end.const for end in (t.src, t.dst))
         single = ends and apart and all(s.simple and len(types) == 1 for s, types in sources)
         every = sum(s.rows.get(x, 1.0) for s, types in sources for x in types)
-        squares = {}
+        hubs, part = {}, min(1.0, rows / max(every, 1.0)) ** 2
         for end, name in ((t.src, "src"), (t.dst, "dst")):
             if end.var and all(s.squares for s, _ in sources):
-                squares[end.var] = sum(s.squares[name].get(x, 1.0) for s, types in sources for x in types) * min(1.0, rows / max(every, 1.0)) ** 2
-        return _Relation(df, variables, max(rows, 1.0), exists=e is None, single=single, squares=squares)
+                total = lambda what: part * sum(s.squares[what].get(x, 1.0) for s, types in sources for x in types)
+                hubs[end.var] = _Hub(name, frozenset((s.name, x) for s, types in sources for x in types), total(name), total("both"))
+        return _Relation(df, variables, max(rows, 1.0), exists=e is None, single=single, hubs=hubs)
 
     def _type(self, var: str) -> str:
         return "long" if self.graph.coded or var in self.edges else "string"
@@ -350,21 +366,18 @@ class Plan:
 
     # order
 
-    def _joined(self, rows_l: float, bound_l: frozenset[str], rows_r: float, bound_r: frozenset[str], squares_l: dict[str, float] | None = None, squares_r: dict[str, float] | None = None) -> float:
+    def _joined(self, rows_l: float, bound_l: frozenset[str], rows_r: float, bound_r: frozenset[str], hubs_l: dict[str, _Hub] | None = None, hubs_r: dict[str, _Hub] | None = None) -> float:
         """Estimated rows of a join: each shared variable is one of so many nodes (or edges).
 
-        Where it is known how unevenly both sides lie on a single shared node, the bound that follows from it
+        Where it is known how unevenly both sides lie on the one shared node, the estimate that follows from it
         is taken if it is larger, so hubs count.
         """
         out = rows_l * rows_r
         shared = bound_l & bound_r
-        hubs = 0.0
-        if len(shared) == 1 and squares_l and squares_r:
-            (v,) = shared
-            hubs = (squares_l.get(v, 0.0) * squares_r.get(v, 0.0)) ** 0.5
+        uneven = [hubs_l[v].joined(hubs_r[v]) for v in shared if hubs_l and hubs_r and v in hubs_l and v in hubs_r]
         for v in shared:
             out /= self._node_rows(v) if v in self.nodes else max(1.0, rows_l, rows_r)
-        return max(out, hubs) if shared else out * CROSS
+        return (max(out, uneven[0]) if len(shared) == 1 and uneven else out) if shared else out * CROSS
 
     def _order(self, relations: list[_Relation]):
         """A join tree - a relation's number, or a pair of trees - and the estimated rows of all its results.
@@ -375,7 +388,7 @@ class Plan:
         n = len(relations)
         if n <= BUSHY:
             best = {1 << i: (r.rows, r.rows, r.variables, i) for i, r in enumerate(relations)}
-            squares = {1 << i: r.squares for i, r in enumerate(relations)}
+            hubs = {1 << i: r.hubs for i, r in enumerate(relations)}
             for mask in range(1, 1 << n):
                 part = (mask - 1) & mask
                 while part:
@@ -383,7 +396,7 @@ class Plan:
                     if part > rest:
                         cost_l, rows_l, bound_l, tree_l = best[part]
                         cost_r, rows_r, bound_r, tree_r = best[rest]
-                        rows = self._joined(rows_l, bound_l, rows_r, bound_r, squares.get(part), squares.get(rest))
+                        rows = self._joined(rows_l, bound_l, rows_r, bound_r, hubs.get(part), hubs.get(rest))
                         cost = cost_l + cost_r + rows
                         if mask not in best or cost < best[mask][0]:
                             pair = (tree_l, tree_r) if rows_l >= rows_r else (tree_r, tree_l)

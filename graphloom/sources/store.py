@@ -38,9 +38,16 @@ def _schema(columns: str, kinds: dict[str, str]) -> str:
     return columns + "".join(f", p{i} {_SPARK[kind]}" for i, kind in enumerate(list(kinds.values())[:MOST_COLUMNS]))
 
 
-def _squares(links: DataFrame, end: str) -> dict[str, float]:
-    degrees = links.groupBy("label", end).agg(F.count(F.lit(1)).cast("double").alias("d"))
-    return {r[0]: r[1] for r in degrees.groupBy("label").agg(F.sum(F.col("d") * F.col("d"))).collect()}
+def _squares(links: DataFrame) -> dict[str, dict[str, float]]:
+    """How unevenly edges of a type lie on nodes: over all nodes the sums of out x out, in x in and out x in, one row a type."""
+    ends = links.select("label", F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1.0).alias("o"), F.lit(0.0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0.0).alias("o"), F.lit(1.0).alias("i")))).alias("e"))
+    degrees = ends.groupBy("label", "e.node").agg(F.sum("e.o").alias("o"), F.sum("e.i").alias("i"))
+    sums = degrees.groupBy("label").agg(*[F.sum(F.col(a) * F.col(b)).alias(name) for name, a, b in (("src", "o", "o"), ("dst", "i", "i"), ("both", "o", "i"))])
+    out: dict[str, dict[str, float]] = {"src": {}, "dst": {}, "both": {}}
+    for row in sums.collect():
+        for name in out:
+            out[name][row["label"]] = row[name]
+    return out
 
 
 _NODES, _EDGES = "id string, labels array<string>, props map<string,string>, node_id long", "src string, dst string, props map<string,string>, edge_id long, label string"
@@ -63,8 +70,7 @@ def build(nodes: DataFrame, edges: DataFrame, path: str) -> dict:
         "nodes": stored.count(),
         "labels": sorted(names_of(stored, F.explode("labels"))),
         "types": names_of(links, F.col("label")),
-        # how unevenly edges of a type lie on their ends: the sum of squared degrees, one row a type
-        "squares": {end: _squares(links, end) for end in ("src", "dst")},
+        "squares": _squares(links),
         "node_props": node_props,
         "edge_props": edge_props,
     }

@@ -51,6 +51,7 @@ def test_stored_graph_has_ranks(spark, prefix, tmp_path):
     nodes, edges = tsv.read_tsv(spark, prefix)
     catalog = store.build(nodes, edges, str(tmp_path / "s"))
     assert catalog["types"] == {"KNOWS": 3, "LIVES": 1} and catalog["nodes"] == 5
+    assert catalog["squares"] == {"src": {"KNOWS": 5.0, "LIVES": 1.0}, "dst": {"KNOWS": 5.0, "LIVES": 1.0}, "both": {"KNOWS": 1.0, "LIVES": 0.0}}
     graph = store.load(spark, str(tmp_path / "s"))
     rows = sorted(tuple(r) for r in match(graph, "(?x)-[?e]->(?y) RETURN ?e, ?x, ?y").collect())
     assert rows == [(1, "a", "b"), (2, "a", "b"), (3, "c", "c"), (4, "b", "d")]
