@@ -137,8 +137,8 @@ def _footer_rows(df: DataFrame) -> float | None:
         return None
     location = plan.relation().location()
     total = float(location.sizeInBytes())
-    paths = sorted(location.inputFiles())
-    paths = paths[:: max(1, len(paths) // FOOTERS)][:FOOTERS]
+    files = location.inputFiles()
+    paths = [files[i] for i in range(0, len(files), max(1, len(files) // FOOTERS))][:FOOTERS]
     jvm = df.sparkSession.sparkContext._jvm
     conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     rows = size = 0
