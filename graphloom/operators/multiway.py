@@ -2,10 +2,13 @@
 
 The space of bindings is cut into cells by hashing each join variable into its share of buckets; an edge
 is sent to every cell that agrees with its two ends.  The shares minimise the number of rows sent.  A hot node
-fixes one coordinate only, so its edges still spread over the buckets of their other end.  In each cell one
-variable after the other is bound: each partial binding is extended from the relation that offers the fewest
-candidates and kept where all other relations agree, so no intermediate result exceeds what some
-relation admits.  Edge numbers are attached last, for complete bindings only.
+fixes one coordinate only, so its edges still spread over the buckets of their other end.  Edges travel as
+packed blocks, one for each cell and some hundred thousand rows, not as rows.  In each cell one
+variable after the other is bound, in the order that its own degrees make cheap: each partial binding is
+extended from the relation that offers the fewest candidates and kept where all other relations agree, so no
+intermediate result exceeds what some relation admits.  Edge numbers are attached last, for complete bindings only.
+
+Sets that send the same rows to the same cells send them once.
 
 Defined results: rows with a null end take part in nothing; parallel edges each give a row where the
 edge is a variable, and count once where it is not; empty relations give no rows.
@@ -13,8 +16,10 @@ edge is a variable, and count once where it is not; empty relations give no rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import product
 from math import prod
 
 import numpy as np
@@ -25,17 +30,31 @@ from pyspark.sql import types as T
 
 CHUNK = 200_000
 CELL_ROWS = 2_000_000
+#: Rows that are packed at a time, and bytes of blocks that are handed on at once.
+BLOCK, HANDED = 500_000, 8 << 20
 
 
 @dataclass(frozen=True)
 class EdgeSet:
-    """Edges as a frame with columns ``s``, ``o`` and, if the edge is a variable, ``e``; rows is an estimate."""
+    """Edges as a frame with columns ``s``, ``o`` and, if the edge is a variable with a number, ``e``; rows is an estimate.
+
+    ``times``: the edge is a variable without a number, so parallel edges give a row each.  ``carried``: a node variable
+    that column ``c`` binds.  ``apart``: pairs of node variables that differ in every binding asked for.
+    """
 
     df: DataFrame
     src: str
     dst: str
     edge: str | None = None
     rows: float = 1.0
+    times: bool = False
+    carried: str | None = None
+    apart: tuple[tuple[str, str], ...] = ()
+
+    def sends_as(self, other: EdgeSet) -> bool:
+        """Whether both send the same rows to the same cells."""
+        shape = [(r.src, r.dst, r.edge is None, r.times, r.carried is None) for r in (self, other)]
+        return shape[0] == shape[1] and (self.df is other.df or self.df.sameSemantics(other.df))
 
 
 def shares_of(edge_sets: Sequence[EdgeSet], variables: Sequence[str], cells: int) -> dict[str, int]:
@@ -87,13 +106,44 @@ def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 class CellJoin:
     """All bindings of one cell.  ``ends``: for each relation its two variables and its coded end arrays."""
 
-    def __init__(self, ends: Sequence[tuple[str, str, np.ndarray, np.ndarray]], size: int, order: Sequence[str]):
-        self.size, self.order = size, list(order)
+    def __init__(self, ends: Sequence[tuple[str, str, np.ndarray, np.ndarray]], size: int, order: Sequence[str] | None = None):
+        self.size = size
         self.relations = []
         for src, dst, s, o in ends:
             code = np.unique(s * size + o)
             s, o = code // size, code % size
             self.relations.append((src, dst, _Adjacency(s, o, size), _Adjacency(o, s, size)))
+        self.order = list(order) if order else self._cheap_order()
+
+    def _cheap_order(self) -> list[str]:
+        """The order of variables, each joined with one before, whose partial bindings are fewest by the mean degrees here.
+
+        From each first variable the next one is taken greedily, so the search grows with the number of variables only.
+        """
+        known: dict[str, float] = {}
+        means = []
+        for src, dst, forward, backward in self.relations:
+            n_src, n_dst = (max(1, int(np.count_nonzero(side.degree(np.arange(self.size))))) for side in (forward, backward))
+            n = len(forward.ends)
+            known[src], known[dst] = min(n_src, known.get(src, n_src)), min(n_dst, known.get(dst, n_dst))
+            means += [(src, dst, n / n_src, n / (n_src * n_dst)), (dst, src, n / n_dst, n / (n_src * n_dst))]
+        best: tuple[float, list[str]] | None = None
+        for first in known:
+            order, rows = [first], float(known[first])
+            total = rows
+            while len(order) < len(known):
+                after = {}
+                for v in known:
+                    if v not in order and (steps := sorted((mean, share) for u, w, mean, share in means if w == v and u in order)):
+                        # candidates come from the fewest; the other relations keep their share of them
+                        after[v] = (rows * steps[0][0], rows * steps[0][0] * prod(share for _, share in steps[1:]))
+                v = min(after, key=lambda v: after[v])
+                total += after[v][0]
+                rows = after[v][1]
+                order.append(v)
+            if best is None or total < best[0]:
+                best = (total, order)
+        return best[1]
 
     def _alone(self, v: str) -> np.ndarray:
         """Values that every relation of a variable knows."""
@@ -174,8 +224,132 @@ def _labels(spark: SparkSession, cells: int) -> list[int]:
     return [found[task] for task in range(cells)]
 
 
+def _pack(columns: Sequence[np.ndarray | pa.Array]) -> bytes:
+    """Columns of a block, compressed; whole numbers are counted from the least one and take as few bytes as hold them.
+
+    Of the first column, if it holds whole numbers, in order, the steps are kept.
+    """
+    least, arrays = [], []
+    for i, column in enumerate(columns):
+        if isinstance(column, np.ndarray):
+            least.append(int(column.min()))
+            column = column.view(np.uint64) - column.min().view(np.uint64)
+            if i == 0:
+                column = np.diff(column, prepend=np.uint64(0))
+            column = pa.array(column.astype(np.min_scalar_type(int(column.max()))))
+        else:
+            least.append(None)
+        arrays.append(column)
+    batch = pa.RecordBatch.from_arrays(arrays, schema=pa.schema([(str(i), a.type) for i, a in enumerate(arrays)], {"least": json.dumps(least)}))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(block: pa.Buffer) -> list[np.ndarray | pa.ChunkedArray]:
+    table = pa.ipc.open_stream(block).read_all()
+    out = []
+    for i, least in enumerate(json.loads(table.schema.metadata[b"least"])):
+        column = table.column(i)
+        if least is not None:
+            column = column.to_numpy().astype(np.uint64)
+            column = (np.cumsum(column) if i == 0 else column).view(np.int64) + np.int64(least)
+        out.append(column)
+    return out
+
+
+def _packed(r: int, names: Sequence[str], offsets: Sequence[int], labels: Sequence[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with the least cell of theirs (``place``) to blocks for all their cells."""
+    schema = pa.schema([("cell", pa.int32()), ("r", pa.int32()), ("block", pa.binary())])
+
+    def handed(cells: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([r] * len(cells), pa.int32()), pa.array(blocks, pa.binary())], schema=schema)
+
+    def blocks_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        place = table.column("place").to_numpy()
+        columns = [table.column(c).combine_chunks() for c in names]
+        columns = [c.to_numpy() if pa.types.is_int64(c.type) else c for c in columns]
+        if all(isinstance(c, np.ndarray) for c in columns[:2]):
+            order = np.lexsort((columns[1], columns[0], place))
+        else:
+            order = np.argsort(place, kind="stable")
+        place = place[order]
+        columns = [c[order] if isinstance(c, np.ndarray) else c.take(pa.array(order)) for c in columns]
+        begin = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        cells, blocks, held = [], [], 0
+        for at, upto in zip(begin.tolist(), [*begin[1:].tolist(), len(place)]):
+            block = _pack([c[at:upto] for c in columns])
+            for offset in offsets:
+                cells.append(labels[int(place[at]) + offset])
+                blocks.append(block)
+                held += len(block)
+                if held > HANDED:
+                    yield handed(cells, blocks)
+                    cells, blocks, held = [], [], 0
+        if cells:
+            yield handed(cells, blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BLOCK:
+                yield from blocks_of(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield from blocks_of(pa.Table.from_batches(held))
+
+    return run
+
+
+@dataclass(frozen=True)
+class _Attached:
+    """What hangs on the bound pairs of one relation: its rows by pair, with a carried variable and a numbered edge."""
+
+    src: str
+    dst: str
+    pair: np.ndarray
+    carried: str | None
+    nodes: np.ndarray | None
+    edge: str | None
+
+
+def _attach(bound: dict[str, np.ndarray], relations: Sequence[_Attached], size: int, apart: Sequence[tuple[str, str]]) -> Iterator[dict[str, np.ndarray]]:
+    """Bindings with all rows that hang on their pairs, in chunks; a numbered edge is bound to its place among the rows."""
+    for x, y in apart:
+        if x in bound and y in bound:
+            kept = bound[x] != bound[y]
+            bound = {name: values[kept] for name, values in bound.items()}
+    rows = len(next(iter(bound.values())))
+    if not rows:
+        return
+    if not relations:
+        yield bound
+        return
+    r = relations[0]
+    wanted = bound[r.src] * size + bound[r.dst]
+    first = np.searchsorted(r.pair, wanted, "left")
+    length = np.searchsorted(r.pair, wanted, "right") - first
+    upto = np.cumsum(length)
+    begin = 0
+    while begin < rows:
+        base = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, base + CHUNK, "right")))
+        spot = _spans(first[begin:end], length[begin:end])
+        source = np.repeat(np.arange(begin, end), length[begin:end])
+        more = {name: values[source] for name, values in bound.items()}
+        if r.carried:
+            more[r.carried] = r.nodes[spot]
+        if r.edge:
+            more[r.edge] = spot
+        yield from _attach(more, relations[1:], size, apart)
+        begin = end
+
+
 def multiway_join(edge_sets: Sequence[EdgeSet], *, cells: int | None = None) -> DataFrame:
-    """All bindings of connected edge sets: a column for each node variable and each edge variable.
+    """All bindings of connected edge sets: a column for each node variable and each edge variable with a number.
 
     Ends are of one type, long or string; edge numbers are longs or any type that casts to text and back.  A task joins one cell; there are as many cells as keep about
     ``CELL_ROWS`` rows in each, and at least one for each core.
@@ -190,66 +364,75 @@ def multiway_join(edge_sets: Sequence[EdgeSet], *, cells: int | None = None) ->
     for v in order:
         stride[v] = total
         total *= share[v]
-    labels = F.lit(_labels(edge_sets[0].df.sparkSession, total))
+    labels = _labels(edge_sets[0].df.sparkSession, total)
 
     kind = edge_sets[0].df.schema["s"].dataType
     edge_kinds = {r.edge: r.df.schema["e"].dataType for r in edge_sets if r.edge}
-    wide = any(not isinstance(k, T.LongType) for k in edge_kinds.values())  # as texts then, numbered within each cell
+    wide = any(not isinstance(k, T.LongType) for k in edge_kinds.values())  # as texts then
     number = "string" if wide else "long"
-    parts = None
-    for i, r in enumerate(edge_sets):
+    parts, sent, layout = None, [], []
+    for r in edge_sets:
+        known = next((k for k, other in enumerate(sent) if r.sends_as(other)), None)
+        layout.append((r.src, r.dst, r.edge, r.carried, r.times, len(sent) if known is None else known))
+        if known is not None:
+            continue
         rows = r.df.filter("s IS NOT NULL AND o IS NOT NULL")
-        if not r.edge:
+        if not (r.edge or r.times or r.carried):
             rows = rows.select("s", "o").distinct()
         place = sum((F.pmod(F.xxhash64(F.col(c)), F.lit(share[v])) * F.lit(stride[v]) for c, v in (("s", r.src), ("o", r.dst))), F.lit(0))
-        others = [F.array(*[F.lit(k * stride[v]) for k in range(share[v])]) for v in order if v not in (r.src, r.dst) and share[v] > 1]
-        cell = place.cast("int")
-        rows = rows.select(F.lit(i).alias("r"), "s", "o", (F.col("e") if r.edge else F.lit(None)).cast(number).alias("e"), cell.alias("cell"))
-        for other in others:
-            rows = rows.withColumn("cell", F.explode(F.transform(other, lambda x: F.col("cell") + x)))
-        parts = rows if parts is None else parts.unionByName(rows)
-
+        names = ["s", "o", *(["c"] if r.carried else []), *(["e"] if r.edge else [])]
+        rows = rows.select(*[F.col(c).cast(number) if c == "e" else F.col(c) for c in names], place.cast("int").alias("place"))
+        others = [[k * stride[v] for k in range(share[v])] for v in order if v not in (r.src, r.dst)]
+        blocks = rows.mapInArrow(_packed(len(sent), names, [sum(x) for x in product(*others)], labels), "cell int, r int, block binary")
+        parts = blocks if parts is None else parts.unionByName(blocks)
+        sent.append(r)
+
+    node_vars = [*order, *(r.carried for r in edge_sets if r.carried)]
     edge_vars = [r.edge for r in edge_sets if r.edge]
-    struct = T.StructType([T.StructField(v, kind) for v in order] + [T.StructField(e, T.StringType() if wide else T.LongType()) for e in edge_vars])
-    layout = [(r.src, r.dst, r.edge) for r in edge_sets]
+    struct = T.StructType([T.StructField(v, kind) for v in node_vars] + [T.StructField(e, T.StringType() if wide else T.LongType()) for e in edge_vars])
+    ends = [(r.src, r.dst, bool(r.carried)) for r in sent]
+    apart = list(dict.fromkeys(pair for r in edge_sets for pair in r.apart))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(struct)
-        table = pa.Table.from_batches(batches)
-        which = table.column("r").to_numpy()
-        both = pa.chunked_array([*table.column("s").chunks, *table.column("o").chunks], table.schema.field("s").type).combine_chunks()
-        coded = both.dictionary_encode()
+        got: list[list[list[np.ndarray | pa.ChunkedArray]]] = [[] for _ in ends]
+        for batch in batches:
+            for r, block in zip(batch.column("r").to_pylist(), batch.column("block")):
+                got[r].append(_unpack(block.as_buffer()))
+        if not all(got):
+            return
+        columns = [[np.concatenate(c) if isinstance(c[0], np.ndarray) else pa.chunked_array([x for y in c for x in y.chunks]).combine_chunks() for c in zip(*blocks)] for blocks in got]
+        got.clear()
+        nodes = [pa.array(c) for (_, _, carries), own in zip(ends, columns) for c in own[: 3 if carries else 2]]
+        coded = pa.chunked_array(nodes).combine_chunks().dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        size, half = max(1, len(coded.dictionary)), table.num_rows
-        numbers = table.column("e").combine_chunks()
-        texts = numbers.dictionary_encode() if wide else None
-        numbers = (texts.indices if wide else numbers).fill_null(0).to_numpy(zero_copy_only=False)
-        ends, edges = [], []
-        for i, (src, dst, edge) in enumerate(layout):
-            own = which == i
-            s, o = code[:half][own], code[half:][own]
-            ends.append((src, dst, s, o))
-            if edge:
-                pair = s * size + o
+        size = max(1, len(coded.dictionary))
+        codes = iter(np.split(code, np.cumsum([len(c) for c in nodes])[:-1]))
+        coded_ends = [tuple(next(codes) for _ in range(3 if carries else 2)) for _, _, carries in ends]
+        sorted_by_pair: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        attached, numbers = [], {}
+        for src, dst, edge, carried, times, k in layout:
+            if not (edge or carried or times):
+                continue
+            if k not in sorted_by_pair:
+                pair = coded_ends[k][0] * size + coded_ends[k][1]
                 by_pair = np.argsort(pair, kind="stable")
-                edges.append((src, dst, pair[by_pair], numbers[own][by_pair]))
-        if not all(len(e[2]) for e in ends):
-            return
-        for bound in CellJoin(ends, size, order).bindings():  # chunk by chunk, so no cell's output is gathered
-            rows, attached = np.arange(len(bound[order[0]])), []
-            for src, dst, pair, number in edges:  # edges hang on bound pairs only, so their numbers multiply out last
-                wanted = bound[src][rows] * size + bound[dst][rows]
-                first = np.searchsorted(pair, wanted, "left")
-                length = np.searchsorted(pair, wanted, "right") - first
-                spot = _spans(first, length)
-                rows, attached = np.repeat(rows, length), [np.repeat(a, length) for a in attached] + [number[spot]]
-            for at in range(0, len(rows), CHUNK):
-                part = slice(at, at + CHUNK)
-                columns = [coded.dictionary.take(pa.array(bound[v][rows[part]])) for v in order] + [texts.dictionary.take(pa.array(a[part])) if wide else pa.array(a[part]) for a in attached]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+                sorted_by_pair[k] = pair[by_pair], by_pair
+            pair, by_pair = sorted_by_pair[k]
+            attached.append(_Attached(src, dst, pair, carried, coded_ends[k][2][by_pair] if carried else None, edge))
+            if edge:
+                own = columns[k][-1]
+                numbers[edge] = pa.array(own).take(pa.array(by_pair))
+        columns.clear()
+        for bound in CellJoin([(src, dst, *c[:2]) for (src, dst, _), c in zip(ends, coded_ends)], size).bindings():  # chunk by chunk, so no cell's output is gathered
+            for part in _attach(bound, attached, size, apart):  # edges hang on bound pairs only, so they multiply out last
+                for at in range(0, len(part[order[0]]), CHUNK):
+                    at_once = {name: pa.array(values[at : at + CHUNK]) for name, values in part.items()}
+                    out = [coded.dictionary.take(at_once[v]) for v in node_vars] + [numbers[e].take(at_once[e]) for e in edge_vars]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, schema)], schema=schema)
 
     # one task a cell: its label decides the task, and a stated number of partitions is not coalesced
-    joined = parts.withColumn("cell", F.get(labels, F.col("cell"))).repartition(total, "cell").groupBy("cell").applyInArrow(run, struct)
+    joined = parts.repartition(total, "cell").groupBy("cell").applyInArrow(run, struct)
     return joined.withColumns({e: F.col(f"`{e}`").cast(k) for e, k in edge_kinds.items()}) if wide else joined

@@ -103,11 +103,12 @@ class Plan:
     def _numbered(self) -> set[str]:
         """Edge variables whose numbers are asked for; other edges are just rows, which spares their numbering."""
         edges = [t.edge.var for t in self.query.triples if t.edge.var]
-        if self.strategy == "multiway" or self.distinct or self.query.returns is None:
+        if self.distinct or self.query.returns is None:
             return set(edges)
         shown = {r.operand.name for r in self.query.returns if isinstance(r.operand, Var)}
         compared = {x.name for c in comparisons(self.query.where) if isinstance(c, Compare) for x in (c.left, c.right) if isinstance(x, Var)}
-        return {e for e in edges if e in shown | compared or edges.count(e) > 1}
+        joined = {e for e in edges if self.keys[e]} if self.strategy == "multiway" else set()  # properties are joined to the edges of a cycle by number
+        return {e for e in edges if e in shown | compared | joined or edges.count(e) > 1}
 
     def _labels(self) -> dict[str, object]:
         """All label expressions of a variable hold together."""
@@ -531,8 +532,9 @@ class Plan:
                 if v in r.variables:
                     df = df.join(held.df.select(self.column[v]), self.column[v], "left_semi")
             s, o = self.column[t.src.var], self.column[t.dst.var]
-            e = self.column[t.edge.var] if t.edge.var else None
-            sets.append(EdgeSet(df.select(F.col(s).alias("s"), F.col(o).alias("o"), *([F.col(e).alias("e")] if e else [])), s, o, e, r.rows))
+            e = self.column[t.edge.var] if t.edge.var in self.numbered else None
+            times = t.edge.var is not None and e is None
+            sets.append(EdgeSet(df.select(F.col(s).alias("s"), F.col(o).alias("o"), *([F.col(e).alias("e")] if e else [])), s, o, e, r.rows, times))
             if e and (self.keys[t.edge.var] and self.prop_column(t.edge.var, self.keys[t.edge.var][0]) in r.df.columns):
                 spare.append(replace(r, df=r.df.drop(s, o), variables=frozenset({t.edge.var})))
         try:

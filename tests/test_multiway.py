@@ -86,6 +86,30 @@ def test_empty_and_loose_relations(spark):
         multiway_join([EdgeSet(one, "a", "a")])
 
 
+def test_cell_binds_in_an_order_without_cross_products(monkeypatch):
+    r = np.random.default_rng(5)
+    n_c, n_s, n_o = 3000, 1000, 4000
+    c, s, o, n = np.arange(n_c), n_c + np.arange(n_s), n_c + n_s + np.arange(n_o), n_c + n_s + n_o
+    nation_c, nation_s = n + r.integers(0, 3, n_c), n + r.integers(0, 3, n_s)
+    placed, order, shipper = r.integers(0, n_c, n_o), r.integers(0, n_o, 3 * n_o), r.integers(0, n_s, 3 * n_o)
+    ends = [("c", "n", c, nation_c), ("s", "n", s, nation_s), ("c", "o", placed, o), ("o", "s", o[order], s[shipper])]
+    tried, spans = [], multiway._spans
+    monkeypatch.setattr(multiway, "_spans", lambda start, length: tried.append(int(length.sum())) or spans(start, length))
+    rows = sum(len(b["c"]) for b in multiway.CellJoin(ends, n + 3).bindings())
+    pairs = np.unique(order * n_s + shipper)
+    assert rows == (nation_c[placed[pairs // n_s]] == nation_s[pairs % n_s]).sum()
+    assert sum(tried) < 3 * sum(len(e[2]) for e in ends)  # nation by nation there are a million pairs of customer and supplier
+
+
+@pytest.mark.parametrize("cells", [1, 16])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_parallel_edges_without_numbers_count_each(spark, kind, cells):
+    relations = [(s, d, e, edges(i, 9, 40, kind == "string")) for i, (s, d, e) in enumerate([("a", "b", "e"), ("b", "c", None), ("c", "a", "g")])]
+    sets = [EdgeSet(spark.createDataFrame([r[:2] for r in rows], f"s {kind}, o {kind}"), s, d, None, len(rows), times=e is not None) for s, d, e, rows in relations]
+    got = multiway_join(sets, cells=cells).select("a", "b", "c").collect()
+    assert sorted(map(tuple, got)) == sorted((b["a"], b["b"], b["c"]) for b in map(dict, brute(relations)))
+
+
 def test_shares():
     class Rows:
         pass
