@@ -8,7 +8,9 @@ variable after the other is bound, in the order that its own degrees make cheap:
 extended from the relation that offers the fewest candidates and kept where all other relations agree, so no
 intermediate result exceeds what some relation admits.  Edge numbers are attached last, for complete bindings only.
 
-Sets that send the same rows to the same cells send them once.
+Two edge sets that meet in a variable of no other set may be folded to one first, where that variable has few
+edges: every way through it is then a row between its two neighbours, and sets that send the same rows to the
+same cells send them once.
 
 Defined results: rows with a null end take part in nothing; parallel edges each give a row where the
 edge is a variable, and count once where it is not; empty relations give no rows.
@@ -17,14 +19,14 @@ edge is a variable, and count once where it is not; empty relations give no rows
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import product
 from math import prod
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +59,23 @@ class EdgeSet:
         return shape[0] == shape[1] and (self.df is other.df or self.df.sameSemantics(other.df))
 
 
+def folded(one: EdgeSet, two: EdgeSet, through: str, rows: float, conditions: Iterable[Column] = ()) -> EdgeSet:
+    """Two sets without edge numbers that meet in ``through`` as one between their other ends, which carries that variable.
+
+    ``conditions`` read columns that are named as the three variables; rows that fail them are left out.
+    """
+    sides = []
+    for r in (one, two):
+        end, other = ("s", "o") if r.src == through else ("o", "s")
+        df = r.df.filter("s IS NOT NULL AND o IS NOT NULL").select(F.col(end).alias(through), F.col(other).alias(r.dst if end == "s" else r.src))
+        sides.append(df if r.times else df.distinct())
+    df = sides[0].join(sides[1], through)
+    for condition in conditions:
+        df = df.filter(condition)
+    src, dst = (r.dst if r.src == through else r.src for r in (one, two))
+    return EdgeSet(df.select(F.col(src).alias("s"), F.col(dst).alias("o"), F.col(through).alias("c")), src, dst, None, rows, carried=through, apart=(*one.apart, *two.apart))
+
+
 def shares_of(edge_sets: Sequence[EdgeSet], variables: Sequence[str], cells: int) -> dict[str, int]:
     """Buckets of each variable: at most ``cells`` in all, a small load of each cell and few rows sent.
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import GraphQueryError, QueryTimeout
 from graphloom.functions.ordinal import as_timestamp, ordinal_of, ordinal_of_text, ordinal_of_timestamp, text_of_ordinal
-from graphloom.operators.multiway import EdgeSet, cells_of, elimination_order, multiway_join, shares_of
+from graphloom.operators.multiway import EdgeSet, cells_of, elimination_order, folded, multiway_join, shares_of
 from graphloom.plans.ast import And, Compare, LabelAnd, Literal, Name, NullTest, Or, Prop, Query, Return, Triple, Var, comparisons, conjuncts, holds, variables_of
 from graphloom.plans.binder import check
 from graphloom.plans.graph import EdgeSource, PropertyGraph
@@ -30,6 +30,8 @@ EDGE_SEMANTICS = ("homomorphism", "distinct")
 STRATEGIES = ("auto", "pairwise", "multiway")
 #: ``auto`` joins a cycle in one shuffle where pair by pair there would be so many times more intermediate rows than rows sent.
 MULTIWAY_FACTOR = 30
+#: The multiway join folds two edge sets first where that sends fewer rows by such a factor.
+FOLD_FACTOR = 2
 #: Up to so many relations all join trees are weighed, beyond that the order is greedy.
 BUSHY = 10
 #: Weight of a join without a shared variable.
@@ -456,7 +458,7 @@ class Plan:
         if self.strategy == "auto" and cost > MULTIWAY_FACTOR * self._rows_sent(relations):
             return Plan(self.query, self.graph, self.mode, "distinct" if self.distinct else "homomorphism", "multiway").dataframe()
         if self.strategy == "multiway":
-            relations = self._with_core(relations, edge_count)
+            relations = self._with_core(relations, edge_count, [] if self.mode == "postfilter" else [c for c in conjuncts(self.query.where) if not any(c is d for d in done)])
             tree, _ = self._order(relations)
 
         def build(tree) -> tuple[DataFrame, frozenset[str], frozenset[int]]:
@@ -508,22 +510,59 @@ class Plan:
         if not sets:
             return float("inf")
         try:
-            order = elimination_order(sets)
+            return self._sent(sets)
         except ValueError:  # two cycles without a common variable
             return float("inf")
-        share = shares_of(sets, order, cells_of(sets, self.graph.spark.sparkContext.defaultParallelism))
+
+    def _sent(self, sets: list[EdgeSet]) -> float:
+        share = shares_of(sets, elimination_order(sets), cells_of(sets, self.graph.spark.sparkContext.defaultParallelism))
         return sum(r.rows * prod(n for v, n in share.items() if v not in (r.src, r.dst)) for r in sets)
 
-    def _with_core(self, relations: list[_Relation], edge_count: int) -> list[_Relation]:
+    def _folded(self, sets: list[EdgeSet], hubs: dict[tuple[str, str, str], list[_Hub | None]], conditions: list) -> list[EdgeSet]:
+        """The sets, with two that meet in a variable of no other set folded to one wherever that sends far fewer rows.
+
+        The rows through the variable count as sent, and those of the two sets, which are shuffled for it; hubs count where
+        they are known.  Conditions on the three variables hold in the folded set.
+        """
+        name = {self.column[v]: v for v in self.nodes}
+        while True:
+            best = None
+            for v in {x: None for r in sets for x in (r.src, r.dst)}:
+                pair = [r for r in sets if v in (r.src, r.dst)]
+                ends = [r.dst if r.src == v else r.src for r in pair]
+                if len(pair) != 2 or ends[0] == ends[1] or any(r.edge or r.carried for r in pair):
+                    continue
+                through = pair[0].rows * pair[1].rows / self._node_rows(name[v])
+                known = [hubs[r.src, r.dst, v] for r in pair]
+                if all(len(h) == 1 and h[0] for h in known):
+                    through = max(through, known[0][0].joined(known[1][0]))
+                own = [c for c in conditions if self._needs(c) <= {v, *ends}]
+                through *= prod(self._share(c) for c in own)
+                rest = [r for r in sets if r not in pair]
+                new = [*rest, EdgeSet(None, *ends, None, max(through, 1.0), carried=v)]
+                cost = self._sent(new) + sum(r.rows for r in pair)
+                if best is None or cost < best[0]:
+                    best = (cost, v, pair, own, max(through, 1.0), rest)
+            if best is None or FOLD_FACTOR * best[0] > self._sent(sets):
+                return sets
+            _, v, pair, own, rows, rest = best
+            sets = [*rest, folded(*pair, v, rows, [self.condition(c) for c in own])]
+
+    def _with_core(self, relations: list[_Relation], edge_count: int, conditions: list) -> list[_Relation]:
         """The relations with the edges between node variables of a cyclic pattern joined to one.
 
         Node conditions and labels reduce those edges first; node tables join again afterwards where their
-        properties are asked for.  Patterns without such a cycle are refused.
+        properties are asked for.  Patterns without such a cycle are refused.  ``conditions`` may be tested on the way.
         """
         picked = self._core()
         if not picked:
             raise GraphQueryError("the multiway strategy needs a cycle of three edges whose edge variables differ")
-        sets, spare = [], []
+        sets, spare, hubs = [], [], {}
+        apart = tuple(  # an order of two nodes says that they differ
+            (self.column[c.left.name], self.column[c.right.name])
+            for c in conditions
+            if isinstance(c, Compare) and c.op in ("<", ">", "!=") and isinstance(c.left, Var) and isinstance(c.right, Var) and {c.left.name, c.right.name} <= self.nodes
+        )
         for i in picked:
             t, r = self.query.triples[i], relations[i]
             df = r.df
@@ -534,11 +573,13 @@ class Plan:
             s, o = self.column[t.src.var], self.column[t.dst.var]
             e = self.column[t.edge.var] if t.edge.var in self.numbered else None
             times = t.edge.var is not None and e is None
-            sets.append(EdgeSet(df.select(F.col(s).alias("s"), F.col(o).alias("o"), *([F.col(e).alias("e")] if e else [])), s, o, e, r.rows, times))
+            sets.append(EdgeSet(df.select(F.col(s).alias("s"), F.col(o).alias("o"), *([F.col(e).alias("e")] if e else [])), s, o, e, r.rows, times, apart=apart))
+            for v in (t.src.var, t.dst.var):
+                hubs.setdefault((s, o, self.column[v]), []).append(r.hubs.get(v))
             if e and (self.keys[t.edge.var] and self.prop_column(t.edge.var, self.keys[t.edge.var][0]) in r.df.columns):
                 spare.append(replace(r, df=r.df.drop(s, o), variables=frozenset({t.edge.var})))
         try:
-            df = multiway_join(sets)
+            df = multiway_join(self._folded(sets, hubs, conditions))
         except ValueError as error:
             raise GraphQueryError("the multiway strategy needs cycles that hang together") from error
         variables = frozenset(v for i in picked for v in relations[i].variables)

@@ -1,14 +1,16 @@
 import random
+from dataclasses import replace
 from decimal import Decimal
 from itertools import product
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import graph_queries
 from graphloom.operators import multiway
-from graphloom.operators.multiway import EdgeSet, multiway_join, shares_of
+from graphloom.operators.multiway import EdgeSet, folded, multiway_join, shares_of
 from graphloom.plans import planner
 
 
@@ -110,6 +112,30 @@ def test_parallel_edges_without_numbers_count_each(spark, kind, cells):
     assert sorted(map(tuple, got)) == sorted((b["a"], b["b"], b["c"]) for b in map(dict, brute(relations)))
 
 
+@pytest.mark.parametrize("cells", [1, 16])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_folded_square(spark, kind, cells):
+    rows = edges(7, 9, 60, kind == "string")
+    one = spark.createDataFrame([r[:2] for r in rows], f"s {kind}, o {kind}")
+    square = [("a", "p", "e"), ("b", "p", None), ("a", "q", "f"), ("b", "q", None)]
+    sets = [EdgeSet(one, s, d, None, len(rows), times=e is not None, apart=(("a", "b"), ("p", "q"))) for s, d, e in square]
+    pair = [folded(sets[0], sets[2], "a", 100, [F.col("p") < F.col("q")]), folded(sets[1], sets[3], "b", 100, [F.col("p") < F.col("q")])]
+    want = sorted((b["a"], b["b"], b["p"], b["q"]) for b in map(dict, brute([(s, d, e, rows) for s, d, e in square])) if b["a"] != b["b"] and b["p"] < b["q"])
+    assert want and sorted(map(tuple, multiway_join(pair, cells=cells).select("a", "b", "p", "q").collect())) == want
+    other = folded(replace(sets[0], src="b"), replace(sets[2], src="b"), "b", 100, [F.col("p") < F.col("q")])
+    assert pair[0].sends_as(other) and not pair[0].sends_as(pair[1])
+
+
+def test_square_in_many_cells_sends_ways_through_orders_once(spark, sf, monkeypatch):
+    calls = []
+    monkeypatch.setattr(planner, "multiway_join", lambda sets: calls.append(sets) or multiway_join(sets, cells=16))
+    monkeypatch.setattr(planner, "cells_of", lambda sets, cores: 256)  # as many as 36 million edges take
+    got = graph_queries.QUERIES["cycle_square_multiway"](spark, sf)
+    (sets,) = calls
+    assert len(sets) == 2 and sets[0].sends_as(sets[1]) and {r.df.columns[0] for r in sets} == {"s"}
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph_queries.QUERIES["cycle_square_parts"](spark, sf).collect()))
+
+
 def test_shares():
     class Rows:
         pass
